@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions.dates import quarter_starts, whole_months, year_quarter
@@ -121,14 +121,17 @@ def quarter_spine(df: DataFrame, date: str, include_partial: bool = False) -> Da
 
 
 def seen_quarters(df: DataFrame, date: str) -> DataFrame:
-    """Quarters that occur, without the last one, which is taken to be unfinished."""
+    """Quarters that occur, without the last one, which is taken to be unfinished.
+
+    The window runs over the different quarters, of which a calendar has four a year.
+    """
     quarters = (
         df.filter(F.col(date).isNotNull())
         .select(year_quarter(F.col(date)).alias("year_quarter"))
         .distinct()
     )
-    last = quarters.agg(F.max("year_quarter"))
-    return quarters.filter(F.col("year_quarter") < last.scalar())
+    last = F.max("year_quarter").over(Window.partitionBy())
+    return quarters.withColumn("_last", last).filter("year_quarter < _last").drop("_last")
 
 
 def fill_quarters(counts: DataFrame, spine: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions.text import ratio
+from corpuslab.session import literal_table
 
 
 def confusion_counts(
@@ -117,10 +118,7 @@ def cv_report(
 
     A language without predictions is an error, raised when the report is read.
     """
-    spark = predictions.sparkSession
-    order = spark.createDataFrame(
-        [(i, name) for i, name in enumerate(languages)], f"position int, {language} string"
-    )
+    order = literal_table(predictions.sparkSession, ["position", language], list(enumerate(languages)))
     means = (
         fold_scores(predictions, fold, language)
         .groupBy(language)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions.text import casefold, keyword_list
+from corpuslab.session import literal_table
 from corpuslab.staging import stage
 
 # A key is hot if it covers more than one part in SLICES of the rows, so there are fewer than
@@ -51,7 +52,7 @@ def topic_matches(
     The topic lists are literals of the caller, so the broadcast side is as long as was typed.
     """
     pairs = [(k, t) for t, ks in topics.items() for k in ks]
-    dimension = df.sparkSession.createDataFrame(pairs, "keyword string, topic string")
+    dimension = literal_table(df.sparkSession, ["keyword", "topic"], pairs)
     words = df.filter(F.col(keywords).isNotNull()).select(
         key, F.explode(keyword_list(casefold(F.col(keywords)))).alias("keyword")
     )

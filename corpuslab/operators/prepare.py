@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuslab.fixed_values import MIN_ARTICLES, MIN_WORDS, SHARE_THRESHOLD
 from corpuslab.functions.text import space_tokens
 from corpuslab.operators.aggregate import language_distribution
+from corpuslab.session import literal_table
 from corpuslab.staging import stage
 
 
@@ -50,7 +51,7 @@ def map_codes(df: DataFrame, column: str, names: dict[str, str], to: str) -> Dat
 
     The table is a literal of the caller, so the broadcast side has as many rows as were typed.
     """
-    dimension = df.sparkSession.createDataFrame(list(names.items()), f"_code string, {to} string")
+    dimension = literal_table(df.sparkSession, ["_code", to], list(names.items()))
     return df.join(F.broadcast(dimension), df[column] == dimension["_code"], "left").drop("_code")
 
 
@@ -84,4 +85,5 @@ def keep_balanced_languages(
     articles without shuffling them, and a longer one falls back to a shuffled semi join.
     """
     selected = balanced_language_table(df, language, label, classes, threshold, min_articles)
-    return df.join(stage(selected.select(language), "languages"), language, "left_semi")
+    kept = df.join(stage(selected.select(language), "languages"), language, "left_semi")
+    return kept.select(df.columns)

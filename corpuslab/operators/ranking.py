@@ -21,8 +21,8 @@ def bucket_of(key: Column) -> Column:
 
 
 def bucket_counts(keys: DataFrame) -> DataFrame:
-    """Rows per stratum and bucket of a (stratum, key) table, staged."""
-    counts = keys.groupBy("stratum", bucket_of(F.col("key")).alias("bucket")).agg(
+    """Rows per stratum and bucket of a (part, stratum, key) table, staged."""
+    counts = keys.groupBy("part", "stratum", bucket_of(F.col("key")).alias("bucket")).agg(
         F.count("*").alias("n")
     )
     return stage(counts, "bucket-counts")

@@ -19,10 +19,14 @@ from corpuslab.operators.ranking import bucket_counts, keys_at, order_key
 from corpuslab.staging import stage
 
 
+# Unit separator, so that no two different combinations of values give the same text.
+SEPARATOR = "\x1f"
+
+
 def stratum_key(strata: list[str]) -> Column:
     """The values of the stratum columns as one text; null counts as an empty value."""
     values = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in strata]
-    return F.concat_ws("|", *values) if values else F.lit("")
+    return F.concat_ws(SEPARATOR, *values) if values else F.lit("")
 
 
 def _assign(
@@ -32,12 +36,15 @@ def _assign(
     seed: int,
     slot: str,
     targets: Callable[[DataFrame], DataFrame],
+    within: list[str],
 ) -> DataFrame:
     """Add the slot whose range of positions holds the row."""
-    stratum, key = stratum_key(strata), order_key(F.col(row_id), seed)
-    keys = df.select(stratum.alias("stratum"), key.alias("key"))
+    stratum, key = stratum_key([*within, *strata]), order_key(F.col(row_id), seed)
+    keys = df.select(
+        stratum_key(within).alias("part"), stratum.alias("stratum"), key.alias("key")
+    )
     counts = bucket_counts(keys)
-    sizes = counts.groupBy("stratum").agg(F.sum("n").alias("c"))
+    sizes = counts.groupBy("part", "stratum").agg(F.sum("n").alias("c"))
     ends = keys_at(keys, counts, targets(sizes))
     cuts = ends.groupBy("stratum").agg(
         F.array_sort(F.collect_list(F.struct("key", "slot"))).alias("_cuts")
@@ -57,19 +64,22 @@ def _train_targets(test_share: float) -> Callable[[DataFrame], DataFrame]:
     """Last train and last test position per stratum, by largest remainder."""
 
     def targets(sizes: DataFrame) -> DataFrame:
-        # The windows without a key run over one row per stratum.
-        everything = Window.partitionBy()
+        # These windows run over one row per stratum.
+        everything = Window.partitionBy("part")
         n = F.sum("c").over(everything)
         n_train = n - F.ceil(n * F.lit(test_share)).cast("long")
-        quota = sizes.select("stratum", "c", n.alias("n"), n_train.alias("n_train")).select(
+        counted = sizes.select("part", "stratum", "c", n.alias("n"), n_train.alias("n_train"))
+        quota = counted.select(
+            "part",
             "stratum",
             "c",
             "n_train",
-            F.expr("c * n_train div n").alias("base"),
-            F.expr("c * n_train % n").alias("remainder"),
+            # The product of two row counts does not fit a long on a large corpus.
+            F.expr("cast(c as decimal(19, 0)) * n_train div n").alias("base"),
+            F.expr("cast(c as decimal(19, 0)) * n_train % n").alias("remainder"),
         )
         extra = F.col("n_train") - F.sum("base").over(everything)
-        order = F.row_number().over(Window.orderBy(F.desc("remainder"), "stratum"))
+        order = F.row_number().over(everything.orderBy(F.desc("remainder"), "stratum"))
         filled = quota.select(
             "stratum", "c", (F.col("base") + (order <= extra).cast("int")).alias("train")
         )
@@ -92,13 +102,16 @@ def train_test_split(
     strata: list[str] | None = None,
     test_share: float = 0.1,
     seed: int = SEED,
+    within: str | None = None,
 ) -> DataFrame:
     """Add ``split`` with exactly ``ceil(n * test_share)`` test rows.
 
-    With ``strata`` every stratum gets its proportional share by largest remainder. ``row_id``
-    must be unique.
+    With ``strata`` every stratum gets its proportional share by largest remainder. With
+    ``within`` every value of that column is split on its own. ``row_id`` must be unique.
     """
-    return _assign(df, row_id, strata or [], seed, "split", _train_targets(test_share))
+    parts = [within] if within else []
+    targets = _train_targets(test_share)
+    return _assign(df, row_id, strata or [], seed, "split", targets, parts)
 
 
 def _fold_targets(k: int) -> Callable[[DataFrame], DataFrame]:
@@ -106,7 +119,8 @@ def _fold_targets(k: int) -> Callable[[DataFrame], DataFrame]:
 
     def targets(sizes: DataFrame) -> DataFrame:
         # One row per stratum: the running count that decides which fold a stratum starts with.
-        before = Window.orderBy("stratum").rowsBetween(Window.unboundedPreceding, -1)
+        before = Window.partitionBy("part").orderBy("stratum")
+        before = before.rowsBetween(Window.unboundedPreceding, -1)
         shifted = sizes.withColumn("shift", F.coalesce(F.sum("c").over(before), F.lit(0)) % k)
         folds = shifted.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
         spare = F.pmod(F.col("slot") - F.col("shift"), F.lit(k)) < F.col("c") % k
@@ -122,7 +136,7 @@ def stratified_folds(
     df: DataFrame, row_id: str, strata: list[str], k: int = FOLDS, seed: int = SEED
 ) -> DataFrame:
     """Add ``fold`` from 0 to ``k - 1``; folds differ by at most one row, in total and per stratum."""
-    return _assign(df, row_id, strata, seed, "fold", _fold_targets(k))
+    return _assign(df, row_id, strata, seed, "fold", _fold_targets(k), [])
 
 
 def temporal_split(

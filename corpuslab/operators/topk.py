@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions.text import keyword_list, ratio
+from corpuslab.staging import stage
 
 
 def explode_keywords(df: DataFrame, keywords: str, *keep: str) -> DataFrame:
@@ -14,6 +15,12 @@ def explode_keywords(df: DataFrame, keywords: str, *keep: str) -> DataFrame:
     return rows.select(*keep, F.explode(keyword_list(F.col(keywords))).alias("keyword"))
 
 
+def _keyword_counts(df: DataFrame, keywords: str, language: str) -> DataFrame:
+    """(keyword, language, n) over all listed keywords."""
+    pairs = explode_keywords(df, keywords, language).groupBy("keyword", language)
+    return pairs.agg(F.count("*").alias("n"))
+
+
 def top_values(df: DataFrame, column: str, k: int) -> DataFrame:
     """The ``k`` most frequent values; ties go to the smaller value."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
@@ -42,11 +49,8 @@ def topic_language_share(
     df: DataFrame, keywords: str, language: str, topics: int = 15, languages: int = 5
 ) -> DataFrame:
     """Share of languages within the most frequent topics; later languages become ``Others``."""
-    pairs = (
-        explode_keywords(df, keywords, language)
-        .groupBy("keyword", language)
-        .agg(F.count("*").alias("n"))
-    )
+    # Written once: the ranking of topics, their totals and the shares all read these counts.
+    pairs = stage(_keyword_counts(df, keywords, language), "keyword-counts")
     leading = (
         pairs.groupBy("keyword")
         .agg(F.sum("n").alias("_n"))
@@ -75,14 +79,18 @@ def top_language_keywords(
     df: DataFrame, keywords: str, language: str, n_keywords: int = 8, n_languages: int = 9
 ) -> DataFrame:
     """Counts of the leading keywords in the leading languages and their percentage per language."""
-    exploded = explode_keywords(df, keywords, language)
-    leading_keywords = top_values(exploded, "keyword", n_keywords).select("keyword")
+    pairs = stage(_keyword_counts(df, keywords, language), "keyword-counts")
+    leading_keywords = (
+        pairs.groupBy("keyword")
+        .agg(F.sum("n").alias("_n"))
+        .orderBy(F.desc("_n"), "keyword")
+        .limit(n_keywords)
+        .select("keyword")
+    )
     leading_languages = top_values(df, language, n_languages).select(language)
-    counts = (
-        exploded.join(F.broadcast(leading_keywords), "keyword", "left_semi")
-        .join(F.broadcast(leading_languages), language, "left_semi")
-        .groupBy(language, "keyword")
-        .agg(F.count("*").alias("n"))
+    # Both broadcast sides are as long as the requested lists.
+    counts = pairs.join(F.broadcast(leading_keywords), "keyword", "left_semi").join(
+        F.broadcast(leading_languages), language, "left_semi"
     )
     # At most n_keywords rows per language reach this join.
     whole = counts.groupBy(language).agg(F.sum("n").alias("_all"))
@@ -96,11 +104,8 @@ def leading_keywords_by_language(
 ) -> DataFrame:
     """The first ``k`` keywords of the leading languages as columns ``top1`` and so on."""
     leading = top_values(df, language, n_languages).select(language)
-    counts = (
-        explode_keywords(df, keywords, language)
-        .join(F.broadcast(leading), language, "left_semi")
-        .groupBy(language, "keyword")
-        .agg(F.count("*").alias("n"))
+    counts = _keyword_counts(df, keywords, language).join(
+        F.broadcast(leading), language, "left_semi"
     )
     ranked = top_per_group(counts, language, "keyword", "n", k)
     return ranked.groupBy(language).agg(

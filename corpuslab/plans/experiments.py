@@ -35,6 +35,7 @@ from corpuslab.operators.splits import (
     topics_of,
     train_test_split,
 )
+from corpuslab.session import literal_table
 from corpuslab.staging import stage
 
 COLUMNS = ["text", "label", "language", "keywords", "published_date"]
@@ -130,9 +131,7 @@ def _report(
 ) -> DataFrame:
     """One row per model with its description."""
     rows = [(model, *described) for model, described in descriptions.items()]
-    dimension = predictions.sparkSession.createDataFrame(
-        rows, "model string, " + ", ".join(f"{n} string" for n in names)
-    )
+    dimension = literal_table(predictions.sparkSession, ["model", *names], rows)
     report = experiment_report(predictions, ["model"])
     return report.join(F.broadcast(dimension), "model").select(
         *names, "f1_avg", "f1_weighted", "f1_overall"
@@ -196,10 +195,8 @@ def cross_datasets(
     alpha: float = 0.1,
 ) -> DataFrame:
     """Train on 90 % of every dataset and test on the remaining 10 % of each."""
-    parts = None
-    for name in datasets:
-        part = train_test_split(df.filter(F.col(dataset) == name), row_id, [language, label])
-        parts = part if parts is None else parts.unionByName(part)
+    rows = df.filter(F.col(dataset).isin(datasets))
+    parts = train_test_split(rows, row_id, [language, label], within=dataset)
     tests = F.col("split") == "test"
     models = [
         Model(name, (F.col(dataset) == name) & ~tests, tests) for name in datasets

@@ -75,7 +75,7 @@ KEYWORDS = "list_transform(string_split({0}, ','), lambda x: trim(x))"
 def train_test(source: str, row_id: str, strata: list[str], seed: int = 42) -> dict[str, str]:
     """CTEs that end in ``split_rows``: exact split of ``source`` by largest remainder."""
     stratum = (
-        "concat_ws('|', "
+        "concat_ws(chr(31), "
         + ", ".join(f"coalesce(CAST({s} AS VARCHAR), '')" for s in strata)
         + ")"
         if strata
@@ -96,7 +96,7 @@ def train_test(source: str, row_id: str, strata: list[str], seed: int = 42) -> d
 
 def folds(source: str, row_id: str, strata: list[str], k: int = 10, seed: int = 42) -> dict[str, str]:
     """CTEs that end in ``fold_rows``: balanced folds of ``source`` as ranges of the md5 order."""
-    stratum = "concat_ws('|', " + ", ".join(f"coalesce(CAST({s} AS VARCHAR), '')" for s in strata) + ")"
+    stratum = "concat_ws(chr(31), " + ", ".join(f"coalesce(CAST({s} AS VARCHAR), '')" for s in strata) + ")"
     return {
         "f_keyed": f"SELECT *, {stratum} AS stratum_, md5(concat('{seed}|', CAST({row_id} AS VARCHAR))) AS key_ FROM {source}",
         "f_ranked": "SELECT *, row_number() OVER (PARTITION BY stratum_ ORDER BY key_) AS rank_ FROM f_keyed",

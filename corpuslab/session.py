@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(
@@ -32,6 +33,12 @@ def build_session(
     return builder.getOrCreate()
 
 
+def literal_table(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
+    """A small table typed in the program, made of literals inside the plan."""
+    cells = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
+    return spark.range(1).select(F.explode(F.array(*cells)).alias("_row")).select("_row.*")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Repartition a scan that has fewer partitions than the session has cores.
 

@@ -1,0 +1,105 @@
+from datetime import date
+
+from pyspark.sql import functions as F
+
+from corpuslab.functions import dates, scores, text
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("v")).first()["v"]
+
+
+def test_strip_removes_tabs_and_no_break_spaces(spark):
+    for value in (" a ", "\ta\n", " a ", "\x1ca\x1f"):
+        assert one(spark, text.strip(F.lit(value))) == value.strip() == "a"
+
+
+def test_capitalize_lowers_the_rest(spark):
+    for value in ("EU/NATO enlargement", "", "ä", "war in Ukraine"):
+        assert one(spark, text.capitalize(F.lit(value))) == value.capitalize()
+
+
+def test_keyword_list(spark):
+    assert one(spark, text.keyword_list(F.lit(""))) == [""]
+    assert one(spark, text.keyword_list(F.lit("a,,b"))) == ["a", "", "b"]
+    assert one(spark, text.keyword_list(F.lit(" a , b "))) == ["a", "b"]
+    assert one(spark, text.keyword_list(F.lit(None).cast("string"))) is None
+
+
+def test_casefold(spark):
+    assert one(spark, text.casefold(F.lit("Straße"))) == "Straße".casefold()
+
+
+def test_word_tokens_follow_unicode_words(spark):
+    import re
+
+    for value in ("It's a co-op, über_2 x 12", "Привет мир! да", "日本語 テスト", ""):
+        expected = [w for w in re.findall(r"\b\w\w+\b", value.lower())]
+        assert one(spark, text.word_tokens(F.lit(value))) == expected
+
+
+def test_space_tokens(spark):
+    for value in ("a  b c\td\n", "", "  ", "x"):
+        assert one(spark, text.space_tokens(F.lit(value))) == value.split()
+
+
+def test_length_counts_code_points(spark):
+    assert one(spark, F.length(F.lit("a😀"))) == len("a😀")
+
+
+def test_sentence_tokens_keep_inner_hyphens(spark):
+    words = one(spark, text.sentence_tokens(F.lit("A (recurring) Pro-Kremlin - narrative, don't-")))
+    assert words == ["a", "recurring", "pro-kremlin", "narrative", "dont"]
+
+
+def test_ngrams(spark):
+    tokens = F.split(F.lit("a b c d"), " ")
+    assert one(spark, text.ngrams(tokens, 3)) == ["a b c", "b c d"]
+    assert one(spark, text.ngrams(tokens, 4)) == ["a b c d"]
+    assert one(spark, text.ngrams(tokens, 5)) == []
+
+
+def test_urls_without_closing_punctuation(spark):
+    found = one(spark, text.urls(F.lit("see https://a.org/x?y=1, and (http://b.org/z).")))
+    assert found == ["https://a.org/x?y=1", "http://b.org/z"]
+
+
+def test_url_query(spark):
+    assert one(spark, text.url_query({"u": F.lit("a b&c"), "t": F.lit("1")})) == "u=a+b%26c&t=1"
+
+
+def test_ratio_of_zero_is_null(spark):
+    assert one(spark, text.ratio(F.lit(0), F.lit(0))) is None
+
+
+def test_day_first_dates(spark):
+    assert one(spark, dates.parse_day_first(F.lit("1-2-2020"))) == date(2020, 2, 1)
+    assert one(spark, dates.parse_day_first(F.lit("01-02-2020"))) == date(2020, 2, 1)
+    assert one(spark, dates.parse_day_first(F.lit(None).cast("string"))) is None
+    assert one(spark, dates.parse_day_first(F.lit("no date"), lenient=True)) is None
+
+
+def test_whole_months_follow_the_calendar(spark):
+    cases = {
+        (date(2021, 1, 30), date(2021, 2, 28)): 1,
+        (date(2021, 1, 31), date(2021, 2, 27)): 0,
+        (date(2020, 2, 29), date(2020, 3, 31)): 1,
+        (date(2015, 1, 6), date(2023, 8, 1)): 102,
+    }
+    for (first, last), months in cases.items():
+        assert one(spark, dates.whole_months(F.lit(first), F.lit(last))) == months
+
+
+def test_quarter_starts_leave_out_the_unfinished_quarter(spark):
+    first, last = F.lit(date(2020, 2, 3)), F.lit(date(2020, 9, 29))
+    assert one(spark, dates.quarter_starts(first, last)) == [date(2020, 1, 1), date(2020, 4, 1)]
+    whole = one(spark, dates.quarter_starts(first, F.lit(date(2020, 9, 30))))
+    assert whole[-1] == date(2020, 7, 1)
+    assert len(one(spark, dates.quarter_starts(first, last, include_partial=True))) == 3
+    assert one(spark, dates.quarter_starts(first, F.lit(date(2020, 2, 9)))) == []
+
+
+def test_argmax_takes_the_first_of_equals(spark):
+    values = F.array(F.lit(0.2), F.lit(0.4), F.lit(0.4))
+    assert one(spark, scores.argmax(values)) == 1
+    assert one(spark, scores.predicted_class(values, [5, 6, 7])) == 6

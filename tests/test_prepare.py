@@ -1,0 +1,151 @@
+import pytest
+from conftest import rows_of
+from pyspark.sql import functions as F
+
+from corpuslab.operators import aggregate, prepare
+from corpuslab.plans import experiments
+from corpuslab.sources.readers import require_columns
+
+# Articles per language: total, class of interest, other class. The first 14 rows are the
+# languages that the default filter keeps.
+PUBLISHED = """
+English 6546 425 6121
+Russian 5825 5356 469
+German 313 216 97
+French 292 165 127
+Spanish 287 243 44
+Georgian 156 146 10
+Czech 152 111 41
+Polish 147 44 103
+Italian 103 85 18
+Lithuanian 78 28 50
+Romanian 68 17 51
+Slovak 35 32 3
+Serbian 31 27 4
+Finnish 30 8 22
+Arabic 3451 3449 2
+Ukrainian 323 8 315
+Hungarian 147 144 3
+Armenian 87 83 4
+Azerbaijani 54 54 0
+Swedish 22 4 18
+Bulgarian 18 4 14
+Dutch 11 3 8
+Norwegian 9 0 9
+Estonian 8 0 8
+Indonesian 8 6 2
+Bosnian 7 6 1
+Latvian 6 3 3
+Croatian 6 4 2
+Greek 5 2 3
+Belarusian 5 0 5
+Afrikaans 3 3 0
+Macedonian 3 1 2
+Chinese 2 2 0
+Persian 2 1 1
+Filipino 2 0 2
+Turkish 1 0 1
+Nynorsk 1 0 1
+Japanese 1 0 1
+Danish 1 0 1
+Catalan 1 0 1
+Korean 1 1 0
+Portuguese 1 1 0
+"""
+TABLE = [
+    (name, int(total), int(one), int(other))
+    for name, total, one, other in (line.split() for line in PUBLISHED.strip().splitlines())
+]
+
+
+@pytest.fixture(scope="module")
+def published(spark):
+    counts = spark.createDataFrame(
+        [(name, "disinformation", one) for name, _, one, _ in TABLE]
+        + [(name, "support", other) for name, _, _, other in TABLE],
+        "language string, class string, n int",
+    )
+    return counts.filter("n > 0").select("language", "class", F.explode(F.sequence(F.lit(1), "n")))
+
+
+def test_distribution_and_filter_on_the_published_table(published):
+    classes = ["disinformation", "support"]
+    table = aggregate.language_distribution(published, "language", "class", classes)
+    assert rows_of(table) == sorted(TABLE)
+    kept = prepare.keep_balanced_languages(published, "language", "class", classes)
+    assert kept.count() == 14063
+    names = {r["language"] for r in kept.select("language").distinct().collect()}
+    assert names == {name for name, *_ in TABLE[:14]}
+
+
+def test_balance_bounds_are_strict(frame):
+    def rows(language, ones, others):
+        return [(language, 1)] * ones + [(language, 0)] * others
+
+    data = (
+        rows("at .05", 2, 38) + rows("at .95", 38, 2) + rows("in", 20, 20) + rows("25", 12, 13)
+        + rows("26", 13, 13) + rows("one", 30, 0) + rows("", 20, 20) + rows(None, 20, 20)
+    )
+    kept = prepare.keep_balanced_languages(
+        frame(data, "language string, label int"), "language", "label", [1, 0]
+    )
+    assert {r["language"] for r in kept.collect()} == {"in", "26", ""}
+
+
+def test_title_and_text(frame):
+    df = frame([("t", "x"), ("", "x"), (None, "x"), ("t", None)], "title string, text string")
+    found = [r[0] for r in df.select(prepare.combine_title_text(F.col("title"), F.col("text"))).collect()]
+    assert found == ["t x", "x", "x", None]
+
+
+def test_binarize(frame):
+    df = frame([("real",), ("fake",), (None,)], "v string")
+    found = df.select(
+        prepare.binarize(F.col("v"), positive="fake").alias("a"),
+        prepare.binarize(F.col("v"), negative="real", missing=1).alias("b"),
+    )
+    assert [tuple(r) for r in found.collect()] == [(0, 0), (1, 1), (None, 1)]
+    with pytest.raises(ValueError):
+        prepare.binarize(F.col("v"))
+
+
+def test_min_words(frame):
+    texts = [" ".join("a" * n) for n in (10, 11)] + ["a " * 11, ""]
+    df = frame([(t,) for t in texts], "t string").filter(prepare.has_min_words(F.col("t")))
+    assert [r["t"] for r in df.collect()] == texts[1:3]
+
+
+def test_unknown_code_is_null(frame):
+    df = prepare.map_codes(frame([("en",), ("xx",), (None,)], "c string"), "c", {"en": "English"}, "name")
+    assert rows_of(df) == [(None, None), ("en", "English"), ("xx", None)]
+
+
+def test_required_columns(frame):
+    df = frame([(1,)], "a int")
+    assert require_columns(df, "a") is df
+    with pytest.raises(ValueError, match="b, c"):
+        require_columns(df, "a", "b", "c")
+
+
+def test_prepared_articles_drop_missing_class_unless_asked(frame):
+    data = [
+        (i, "disinformation" if i % 2 else ("support" if i % 4 else None), "x", "t", "body", "k", "1-1-2020")
+        for i in range(120)
+    ]
+    df = frame(
+        data,
+        "article_id long, class string, article_language string, article_title string, "
+        "article_text string, keywords string, published_date string",
+    )
+    assert experiments.prepare_articles(df).count() == 90
+    everything = experiments.prepare_articles(df, missing_as_negative=True)
+    assert everything.filter("label = 0").count() == 60
+    assert everything.filter("split = 'test'").count() == 12
+
+
+def test_flat_news(frame):
+    data = [(i, f"text {i}", i % 2, "hindi") for i in range(41)] + [(99, "t", 1, "rare")]
+    df = frame(data, "id long, article_text string, class int, article_language string")
+    rows = experiments.prepare_flat_news(df, "id")
+    assert rows.count() == 41 and rows.filter("split = 'test'").count() == 5
+    assert rows.columns[:4] == ["id", "text", "label", "language"]
