@@ -56,12 +56,16 @@ def sentence_tokens(value: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """All runs of ``n`` tokens joined by a blank; an empty array if there are fewer."""
-    starts = F.sequence(F.lit(0), F.size(tokens) - n)
-    runs = F.transform(
-        starts, lambda i: F.concat_ws(" ", *[F.get(tokens, i + F.lit(k)) for k in range(n)])
-    )
-    return F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<string>"))
+    """All runs of ``n`` tokens joined by a blank; an empty array if there are fewer.
+
+    Every further word is appended by pairing the runs with the tokens shifted by one more place.
+    The lambda sees the pair only: an outer column inside it could be evaluated once per token.
+    """
+    runs = tokens
+    for k in range(1, n):
+        shifted = F.slice(tokens, k + 1, F.size(tokens) + 1)
+        runs = F.zip_with(runs, shifted, lambda run, word: F.concat(run, F.lit(" "), word))
+    return F.array_compact(runs)
 
 
 def urls(value: Column) -> Column:
