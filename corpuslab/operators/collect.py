@@ -81,23 +81,36 @@ def _needs_archive() -> Column:
     return (F.col("status") == OK) & ((F.col("text") == "") | F.col("error").isNotNull())
 
 
-def resolve(
+def locate_archive(
     pending: DataFrame,
     primary: DataFrame,
     oldest: DataFrame,
-    archive: DataFrame,
     row_id: str = "article_id",
     url: str = "article_url",
 ) -> DataFrame:
-    """The outcome of every pending row as (base columns, article_text, article_title, outcome).
+    """(id, archive_url) of the rows that need the archive and have a snapshot.
 
-    ``primary`` and ``archive`` are (id, status, error, text, title) with one row per id, ``oldest``
-    is (url, archive_url) with one row per address. Only ids and addresses of the rows that need
-    the archive go through the lookup by address; the texts are joined by id.
+    ``oldest`` is (url, archive_url) with one row per address. Only ids and addresses go through the
+    lookup, which holds up when one address belongs to most of the rows.
     """
     flags = primary.filter(_needs_archive()).select(row_id)
     needed = stage(pending.select(row_id, url).join(flags, row_id, "left_semi"), "needs-archive")
-    located = hot_key_lookup(needed, oldest, url).filter(F.col("archive_url").isNotNull())
+    found = hot_key_lookup(needed, oldest, url)
+    return found.filter(F.col("archive_url").isNotNull()).select(row_id, "archive_url")
+
+
+def resolve(
+    pending: DataFrame,
+    primary: DataFrame,
+    located: DataFrame,
+    archive: DataFrame,
+    row_id: str = "article_id",
+) -> DataFrame:
+    """The outcome of every pending row as (base columns, article_text, article_title, outcome).
+
+    ``primary`` and ``archive`` are (id, status, error, text, title) and ``located`` holds the ids
+    with a snapshot, each with one row per id; everything is joined by id.
+    """
     copies = archive.select(
         row_id, *[F.col(c).alias(f"a_{c}") for c in ("status", "error", "text", "title")]
     )
@@ -168,6 +181,7 @@ def finalize(cache: DataFrame, order: list[Column], row_id: str = "article_id")
 __all__ = [
     "fetch",
     "finalize",
+    "locate_archive",
     "new_cache_rows",
     "oldest_snapshots",
     "outcome_counts",

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -147,16 +146,15 @@ def collect_pending(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _replay() -> collect.Client:
-    """A client that answers from the columns of the row instead of the network."""
-
-    def answer(batch: pd.DataFrame) -> list[tuple[int | None, str | None]]:
-        return list(zip(batch["stored_status"].tolist(), batch["stored_body"].tolist()))
-
-    return answer
+def collect_fetch(spark: SparkSession, folder: str) -> DataFrame:
+    """Responses from a client that answers from the columns of the row, not from the network."""
 
+    # Defined here, so that it is sent to the workers by value.
+    def make_client():
+        return lambda batch: list(
+            zip(batch["stored_status"].tolist(), batch["stored_body"].tolist())
+        )
 
-def collect_fetch(spark: SparkSession, folder: str) -> DataFrame:
     pending = collect_pending(spark, folder)
     stored = views.primary_responses(spark, folder)
     item = F.struct("text", F.lit("a title").alias("title"))
@@ -166,7 +164,7 @@ def collect_fetch(spark: SparkSession, folder: str) -> DataFrame:
     answers = stored.select(
         "article_id", F.col("status").alias("stored_status"), body.alias("stored_body")
     )
-    fetched = collect.fetch(pending.join(answers, "article_id"), _replay)
+    fetched = collect.fetch(pending.join(answers, "article_id"), make_client)
     return collect.parse_responses(fetched, "article_id")
 
 
@@ -177,12 +175,10 @@ def archive_oldest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _resolved(spark: SparkSession, folder: str, pending: DataFrame) -> DataFrame:
-    return collect.resolve(
-        pending,
-        views.primary_responses(spark, folder),
-        archive_oldest(spark, folder).filter(~F.col("article_url").endswith("7")),
-        views.archive_responses(spark, folder),
-    )
+    primary = views.primary_responses(spark, folder)
+    oldest = archive_oldest(spark, folder).filter(~F.col("article_url").endswith("7"))
+    located = collect.locate_archive(pending, primary, oldest)
+    return collect.resolve(pending, primary, located, views.archive_responses(spark, folder))
 
 
 def collect_resolve(spark: SparkSession, folder: str) -> DataFrame:
@@ -532,7 +528,7 @@ def bow_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def encode_fixed(spark: SparkSession, folder: str) -> DataFrame:
-    rows = views.labelled(spark, folder).select("article_id", "article_text")
+    rows = views.articles(spark, folder).select("article_id", "article_text")
     vocabulary = bow.fit_vocabulary(rows, "article_text")
     encoded = bow.encode_fixed(rows, "article_id", "article_text", vocabulary)
     return encoded.select("article_id", _joined("input_ids"), _joined("attention_mask"))

@@ -312,12 +312,8 @@ OUTCOMES = {
     "responses": """SELECT page_id AS article_id, CASE WHEN page_id % 10 = 0 THEN 404 ELSE 200 END AS status,
         CASE WHEN page_id % 10 = 1 THEN 'fetch error' END AS error,
         CASE WHEN page_id % 10 IN (2, 3) THEN '' WHEN page_id % 10 <> 1 THEN html END AS text FROM pages""",
-    "copies": """SELECT page_id AS article_id, CASE WHEN page_id % 20 = 11 THEN 'fetch error' END AS error,
-        CASE WHEN page_id % 20 = 2 THEN '' WHEN page_id % 20 <> 11 THEN html END AS text
-        FROM pages WHERE page_id % 10 IN (1, 2) AND url IN (SELECT url FROM pages WHERE page_id % 10 IN (1, 2))
-          AND url NOT LIKE '%7'""",
     "has_snapshot": "SELECT DISTINCT url FROM pages WHERE page_id % 10 IN (1, 2) AND url NOT LIKE '%7'",
-    "all_copies": """SELECT page_id AS article_id, CASE WHEN page_id % 20 = 11 THEN 'fetch error' END AS error,
+    "copies": """SELECT page_id AS article_id, CASE WHEN page_id % 20 = 11 THEN 'fetch error' END AS error,
         CASE WHEN page_id % 20 = 2 THEN '' WHEN page_id % 20 <> 11 THEN html END AS text
         FROM pages WHERE page_id % 10 IN (1, 2)""",
     "decided": """SELECT p.page_id AS article_id, p.url AS article_url, CASE
@@ -329,9 +325,8 @@ OUTCOMES = {
           WHEN c.text = '' THEN 'ok_empty' ELSE 'ok_archive' END AS outcome,
           r.text AS first_text, c.text AS copied_text
         FROM pages p JOIN responses r ON r.article_id = p.page_id
-        LEFT JOIN has_snapshot s ON s.url = p.url LEFT JOIN all_copies c ON c.article_id = p.page_id""",
+        LEFT JOIN has_snapshot s ON s.url = p.url LEFT JOIN copies c ON c.article_id = p.page_id""",
 }
-del OUTCOMES["copies"]
 
 ORACLE: dict[str, str] = {
     "scan_csv_roundtrip": sql(
@@ -644,8 +639,8 @@ ORACLE: dict[str, str] = {
           array_to_string(list_concat(list_transform(generate_series(1, k), lambda i: 1),
             list_transform(generate_series(1, 512 - k), lambda i: 0)), ',') AS attention_mask
         FROM (SELECT t.article_id, e.ids, coalesce(len(e.ids), 0) AS k FROM terms t LEFT JOIN encoded e ON e.article_id = t.article_id)""",
-        "labelled",
-        terms=f"SELECT article_id, {WORDS.format('article_text')} AS w FROM labelled",
+        "articles",
+        terms=f"SELECT article_id, {WORDS.format('article_text')} AS w FROM articles",
         vocabulary="""SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) + 1 AS id
             FROM (SELECT unnest(w) AS term FROM terms) GROUP BY term""",
         positions="SELECT article_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM terms",

@@ -31,7 +31,9 @@ def test_every_outcome(frame):
         ],
         RESPONSE,
     )
-    found = {r["article_id"]: r for r in collect.resolve(base, primary, oldest, archive).collect()}
+    located = collect.locate_archive(base, primary, oldest)
+    resolved = collect.resolve(base, primary, located, archive)
+    found = {r["article_id"]: r for r in resolved.collect()}
     assert {k: r["outcome"] for k, r in found.items()} == {
         "a": "ok", "b": "http_skip", "c": "failed_no_archive", "d": "failed_error", "e": "ok_archive",
         "f": "ok_empty", "g": "exception", "h": "exception", "i": "exception", "j": "failed_error",
@@ -39,7 +41,6 @@ def test_every_outcome(frame):
     assert (found["a"]["article_text"], found["a"]["article_title"]) == ("text", "T")
     assert (found["e"]["article_text"], found["e"]["article_title"]) == ("copy", "C")
     assert found["f"]["article_text"] == "" and found["c"]["article_text"] is None
-    resolved = collect.resolve(base, primary, oldest, archive)
     assert [r[0] for r in rows_of(collect.new_cache_rows(resolved), "article_id")] == ["a", "e", "f"]
     cache = frame([("x", 1), ("x", 2)], "article_id string, n int")
     counts = rows_of(collect.outcome_counts(base, cache, resolved))
@@ -57,7 +58,8 @@ def test_many_rows_of_one_address(frame, spark):
     )
     archive = primary.withColumn("text", F.lit("copy"))
     oldest = frame([("hot", "archive/hot")], "article_url string, archive_url string")
-    found = collect.resolve(base, primary, oldest, archive).groupBy("outcome").count()
+    located = collect.locate_archive(base, primary, oldest)
+    found = collect.resolve(base, primary, located, archive).groupBy("outcome").count()
     assert rows_of(found) == [("failed_no_archive", 300), ("ok_archive", 600)]
 
 

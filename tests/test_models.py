@@ -126,8 +126,9 @@ def test_linear_svm_reaches_the_optimum(frame):
         w = w - rate * (penalty * w - (active[:, None] * x).mean(axis=0))
         b = b + 0.1 * rate * active.mean()
         best = min(best, objective(x, y, w, b, penalty))
-    features = svm.fit_features(df, "t")
-    vectors = svm._vectors(df, features, "t").select(F.col("label").cast("double"), "features")
+    tokens = svm.with_terms(df, "t")
+    features = svm.fit_features(tokens)
+    vectors = features.transform(tokens).select(F.col("label").cast("double"), "features")
     model = svm.fit_linear_svm(vectors, n, cost)
     index = [features.vocabulary.index(v) for v in [*WORDS, "zz"]]
     weights = model.coefficients.toArray()[index]
@@ -145,10 +146,10 @@ def test_linear_svm_predicts_separable_labels(frame):
 
 
 def test_large_vocabulary_is_hashed_not_cut(frame):
-    df = frame([(1, "aa bb cc", 0, "en")], SCHEMA)
-    assert hasattr(svm.fit_features(df, "t", max_features=3), "vocabulary")
-    hashed = svm.fit_features(df, "t", max_features=2)
-    assert svm._vectors(df, hashed, "t").first()["features"].toArray().sum() == 3
+    tokens = svm.with_terms(frame([(1, "aa bb cc", 0, "en")], SCHEMA), "t")
+    assert hasattr(svm.fit_features(tokens, max_features=3), "vocabulary")
+    hashed = svm.fit_features(tokens, max_features=2)
+    assert hashed.transform(tokens).first()["features"].toArray().sum() == 3
 
 
 def test_batch_score_uses_the_given_scorer(frame):
