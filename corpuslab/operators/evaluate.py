@@ -7,13 +7,39 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions.text import ratio
 from corpuslab.session import literal_table
+from corpuslab.staging import stage
+
+
+COUNT = "_pairs"
+
+
+def pair_counts(
+    predictions: DataFrame, keys: list[str], label: str = "label", pred: str = "pred"
+) -> DataFrame:
+    """Predictions merged to one row per (keys, label, prediction) with a count.
+
+    Every metric accepts the result in place of the predictions. It is staged, because a report
+    reads it several times and the predictions behind it should be made once.
+    """
+    return stage(predictions.groupBy(*keys, label, pred).agg(_rows(predictions).alias(COUNT)), "pairs")
+
+
+def _rows(predictions: DataFrame) -> Column:
+    """Number of predictions in a group, for single and for merged rows."""
+    return F.sum(COUNT) if COUNT in predictions.columns else F.count("*")
+
+
+def _rows_if(predictions: DataFrame, condition: Column) -> Column:
+    if COUNT in predictions.columns:
+        return F.sum(F.when(condition, F.col(COUNT)).otherwise(0))
+    return F.count_if(condition)
 
 
 def confusion_counts(
     predictions: DataFrame, keys: list[str], label: str = "label", pred: str = "pred"
 ) -> DataFrame:
     """(keys, class, tp, support, predicted) for classes that occur as label or prediction."""
-    pairs = predictions.groupBy(*keys, label, pred).agg(F.count("*").alias("_n"))
+    pairs = predictions.groupBy(*keys, label, pred).agg(_rows(predictions).alias("_n"))
     n, none = F.col("_n"), F.lit(0).cast("long")
     hit = F.when(F.col(label) == F.col(pred), n).otherwise(none)
     sides = F.array(
@@ -53,8 +79,8 @@ def precision_recall(
     """Precision and recall of every class as columns; 0 where undefined."""
 
     def share(side: Column, value: int) -> Column:
-        hits = F.count_if((F.col(label) == value) & (F.col(pred) == value))
-        return F.coalesce(ratio(hits, F.count_if(side == value)), F.lit(0.0))
+        hits = _rows_if(predictions, (F.col(label) == value) & (F.col(pred) == value))
+        return F.coalesce(ratio(hits, _rows_if(predictions, side == value)), F.lit(0.0))
 
     return predictions.groupBy(*keys).agg(
         *[share(F.col(pred), c).alias(f"precision_{c}") for c in classes],
@@ -66,14 +92,15 @@ def experiment_report(
     predictions: DataFrame, keys: list[str], language: str = "language"
 ) -> DataFrame:
     """(keys, f1_avg, f1_weighted, f1_overall): one row per experiment."""
-    averages = language_average(macro_f1(predictions, [*keys, language]), keys)
-    overall = macro_f1(predictions, keys).select(*keys, F.col("f1").alias("f1_overall"))
+    pairs = pair_counts(predictions, [*keys, language])
+    averages = language_average(macro_f1(pairs, [*keys, language]), keys)
+    overall = macro_f1(pairs, keys).select(*keys, F.col("f1").alias("f1_overall"))
     return averages.join(overall, keys)
 
 
 def fold_scores(predictions: DataFrame, fold: str = "fold", language: str = "language") -> DataFrame:
-    """(fold, language, f1, weight): one row per fold and language."""
-    scores = macro_f1(predictions, [fold, language])
+    """(fold, language, f1, weight): one row per fold and language, staged."""
+    scores = stage(macro_f1(predictions, [fold, language]), "fold-scores")
     sizes = scores.groupBy(fold).agg(F.sum("n").alias("_all"))
     return scores.join(sizes, fold).select(
         fold, language, "f1", ratio(F.col("n"), F.col("_all")).alias("weight")
@@ -119,8 +146,9 @@ def cv_report(
     A language without predictions is an error, raised when the report is read.
     """
     order = literal_table(predictions.sparkSession, ["position", language], list(enumerate(languages)))
+    pairs = pair_counts(predictions, [fold, language])
     means = (
-        fold_scores(predictions, fold, language)
+        fold_scores(pairs, fold, language)
         .groupBy(language)
         .agg(
             F.avg("f1").alias("f1_mean"),
@@ -141,7 +169,7 @@ def cv_report(
         F.sum(F.col("f1_mean") * F.col("weight")).alias("Weighted F1"),
         F.avg("f1_mean").alias("Avg. F1"),
     )
-    quality = precision_recall(predictions, []).select(
+    quality = precision_recall(pairs, []).select(
         F.col("precision_0").alias("Precision Negative"),
         F.col("precision_1").alias("Precision Positive"),
         F.col("recall_0").alias("Recall Negative"),

@@ -36,13 +36,18 @@ def keys_at(keys: DataFrame, counts: DataFrame, targets: DataFrame) -> DataFrame
     those buckets are ranked, so one task ranks about 1/4096 of a stratum.
     """
     running = Window.partitionBy("stratum").orderBy("bucket")
-    ends = counts.withColumn("_end", F.sum("n").over(running))
+    starts = counts.withColumn("_start", F.sum("n").over(running) - F.col("n"))
+    # One row per stratum with its few positions.
+    wanted = targets.groupBy("stratum").agg(F.collect_list(F.struct("slot", "position")).alias("_t"))
+
+    def inside(target: Column) -> Column:
+        place = target["position"] - F.col("_start")
+        return (place >= 1) & (place <= F.col("n"))
+
     located = (
-        targets.join(ends, "stratum")
-        .filter((F.col("position") <= F.col("_end")) & (F.col("position") > F.col("_end") - F.col("n")))
-        .select(
-            "stratum", "bucket", "slot", (F.col("position") - F.col("_end") + F.col("n")).alias("rank")
-        )
+        starts.join(wanted, "stratum")
+        .select("stratum", "bucket", "_start", F.explode(F.filter("_t", inside)).alias("t"))
+        .select("stratum", "bucket", "t.slot", (F.col("t.position") - F.col("_start")).alias("rank"))
     )
     located = stage(located, "located")
     bucketed = keys.select("stratum", "key", bucket_of(F.col("key")).alias("bucket"))

@@ -57,8 +57,8 @@ def prepare_articles(
         "keywords",
         "published_date",
     )
-    # Both parts and the counts read the cleaned rows, so they are written once.
-    clean = stage(keep_balanced_languages(named, "language", "label", [1, 0], **balance), "clean")
+    # Only labels and languages are read to find the split; the texts are read with the result.
+    clean = keep_balanced_languages(named, "language", "label", [1, 0], **balance)
     return train_test_split(clean, row_id, ["label", "language"])
 
 
@@ -74,7 +74,9 @@ def prepare_nested_news(
     named = mapped.select(
         row_id, "text", binarize(F.col("label"), negative="real").alias("label"), "language"
     )
-    clean = stage(keep_balanced_languages(named, "language", "label", [1, 0], **balance), "clean")
+    # The word count needs the texts, so the rows that pass are written before they are counted.
+    long = stage(named, "long-enough")
+    clean = keep_balanced_languages(long, "language", "label", [1, 0], **balance)
     return train_test_split(clean, row_id, ["label", "language"])
 
 
@@ -83,7 +85,7 @@ def prepare_flat_news(news: DataFrame, row_id: str, **balance) -> DataFrame:
     named = news.withColumnsRenamed(
         {"article_text": "text", "class": "label", "article_language": "language"}
     ).select(row_id, "text", "label", "language")
-    clean = stage(keep_balanced_languages(named, "language", "label", [1, 0], **balance), "clean")
+    clean = keep_balanced_languages(named, "language", "label", [1, 0], **balance)
     return train_test_split(clean, row_id, ["label", "language"])
 
 
@@ -201,7 +203,6 @@ def cross_datasets(
     models = [
         Model(name, (F.col(dataset) == name) & ~tests, tests) for name in datasets
     ]
-    scored = predict(parts, models, row_id, text, label, language, [alpha])
-    origin = df.select(row_id, F.col(dataset).alias("test_dataset"))
-    rows = scored.withColumnRenamed("model", "train_dataset").join(origin, row_id)
+    scored = predict(parts, models, row_id, text, label, language, [alpha], keep=[dataset])
+    rows = scored.withColumnsRenamed({"model": "train_dataset", dataset: "test_dataset"})
     return experiment_report(rows, ["train_dataset", "test_dataset"])

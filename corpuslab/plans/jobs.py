@@ -63,7 +63,9 @@ def prepare_dataset(
 ) -> None:
     """Write the train and dev part of the article table as CSV."""
     require_path(spark, articles_path, "Collect the articles first.")
-    rows = experiments.prepare_articles(read_csv(spark, articles_path, ARTICLES), **balance)
+    # A CSV scan reads whole lines for every column; the split needs several narrow passes.
+    articles = stage(read_csv(spark, articles_path, ARTICLES), "articles")
+    rows = experiments.prepare_articles(articles, **balance)
     for name, path in (("train", train_path), ("test", dev_path)):
         write_csv(rows.filter(F.col("split") == name).select(*EXPERIMENT.fieldNames()), path)
 

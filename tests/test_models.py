@@ -129,7 +129,7 @@ def test_linear_svm_reaches_the_optimum(frame):
     tokens = svm.with_terms(df, "t")
     features = svm.fit_features(tokens)
     vectors = features.transform(tokens).select(F.col("label").cast("double"), "features")
-    model = svm.fit_linear_svm(vectors, n, cost)
+    model = svm.fit_linear_svm(vectors.coalesce(1), n, cost)
     index = [features.vocabulary.index(v) for v in [*WORDS, "zz"]]
     weights = model.coefficients.toArray()[index]
     assert objective(x, y, weights, model.intercept, penalty) <= best * 1.01
@@ -138,10 +138,10 @@ def test_linear_svm_reaches_the_optimum(frame):
 def test_linear_svm_predicts_separable_labels(frame):
     rows = [(i, "good news" if i % 2 else "bad lies", i % 2, "en") for i in range(40)]
     df = frame(rows, SCHEMA)
-    found = svm.train_and_predict(df.filter("id < 30"), df.filter("id >= 30"), "id", "t", "label", "language", [0.1, 1.0])
+    found = svm.train_and_predict(df.filter("id < 30"), df.filter("id >= 30"), "id", "t", "label", "language", [0.1, 1.0], iterations=8)
     assert found.count() == 20 and found.filter("pred != label").count() == 0
     split = df.withColumn("split", F.when(F.col("id") < 30, "train").otherwise("test"))
-    scores = svm.grid_search(split, "id", "t", "label", "language", costs=[0.1, 1.0])
+    scores = svm.grid_search(split, "id", "t", "label", "language", costs=[0.1, 1.0], iterations=8)
     assert rows_of(scores) == [(0.1, 1, 1.0), (1.0, 2, 1.0)]
 
 
