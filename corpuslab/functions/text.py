@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x1c-\x1f]"
 WORD = r"[\p{L}\p{N}_]{2,}"
 SENTENCE_END = r"[.!?]+\s+|\n+"
-NOT_SENTENCE_TEXT = r"[^\p{L}\p{M}\p{N}\s-]+"
+NOT_SENTENCE_TEXT = r"[^\p{L}\p{M}\p{N}\p{Z}\s-]+"
+# Hyphens at the start or end of a word.
+OUTER_HYPHENS = r"(?U)(?<![^\s\x1c-\x1f])-+|-+(?![^\s\x1c-\x1f])"
 URL = r"https?://[^\s<>\"]+"
 
 
@@ -51,8 +53,7 @@ def raw_sentences(value: Column) -> Column:
 def sentence_tokens(value: Column) -> Column:
     """Lower-cased words without punctuation; a hyphen inside a word stays."""
     plain = F.regexp_replace(F.lower(value), NOT_SENTENCE_TEXT, "")
-    words = F.transform(space_tokens(plain), lambda word: F.regexp_replace(word, "^-+|-+$", ""))
-    return F.filter(words, lambda word: word != "")
+    return space_tokens(F.regexp_replace(plain, OUTER_HYPHENS, ""))
 
 
 def ngrams(tokens: Column, n: int) -> Column:

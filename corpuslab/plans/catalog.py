@@ -553,7 +553,9 @@ def naive_bayes_query(spark: SparkSession, folder: str) -> DataFrame:
     rows = _split_articles(spark, folder)
     model = naive_bayes.Model("split", F.col("split") == "train", F.col("split") == "test")
     return _predicted(
-        naive_bayes.predict(rows, [model], "article_id", "text", "label", "language", [0.1])
+        naive_bayes.predict(
+            rows, [model], "article_id", "text", "label", "language", [0.1], few_scored=True
+        )
     )
 
 

@@ -203,6 +203,8 @@ def cross_datasets(
     models = [
         Model(name, (F.col(dataset) == name) & ~tests, tests) for name in datasets
     ]
-    scored = predict(parts, models, row_id, text, label, language, [alpha], keep=[dataset])
+    scored = predict(
+        parts, models, row_id, text, label, language, [alpha], keep=[dataset], few_scored=True
+    )
     rows = scored.withColumnsRenamed({"model": "train_dataset", dataset: "test_dataset"})
     return experiment_report(rows, ["train_dataset", "test_dataset"])

@@ -66,7 +66,7 @@ WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]{{2,}}')"
 SPACE_TOKENS = r"list_filter(regexp_split_to_array({0}, '[\s\p{{Z}}\x1c-\x1f\x85]+'), lambda x: x <> '')"
 SENTENCE_WORDS = (
     "list_filter(list_transform(regexp_split_to_array("
-    r"regexp_replace(lower({0}), '[^\p{{L}}\p{{M}}\p{{N}}\s-]+', '', 'g'), '\s+'), "
+    r"regexp_replace(lower({0}), '[^\p{{L}}\p{{M}}\p{{N}}\p{{Z}}\s-]+', '', 'g'), '[\s\p{{Z}}]+'), "
     "lambda w: regexp_replace(w, '^-+|-+$', '', 'g')), lambda w: w <> '')"
 )
 KEYWORDS = "list_transform(string_split({0}, ','), lambda x: trim(x))"

@@ -50,6 +50,7 @@ def test_length_counts_code_points(spark):
 def test_sentence_tokens_keep_inner_hyphens(spark):
     words = one(spark, text.sentence_tokens(F.lit("A (recurring) Pro-Kremlin - narrative, don't-")))
     assert words == ["a", "recurring", "pro-kremlin", "narrative", "dont"]
+    assert one(spark, text.sentence_tokens(F.lit("a\u00a0b -- --c- हिन्दी"))) == ["a", "b", "c", "हिन्दी"]
 
 
 def test_ngrams(spark):
