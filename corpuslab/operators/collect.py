@@ -29,6 +29,25 @@ def request_url(endpoint: str, url: Column, token: str, timeout_ms: int = 60_000
     return F.concat(F.lit(endpoint + "?"), query)
 
 
+def per_request(
+    make_ask: Callable[[], Callable[[str], tuple[int, str]]], column: str = "request"
+) -> Callable[[], Client]:
+    """A client factory from a function that asks for one address; an error of it fails that row only."""
+
+    def make_client() -> Client:
+        ask = make_ask()
+
+        def answer(address: str) -> tuple[int | None, str | None]:
+            try:
+                return ask(address)
+            except Exception:
+                return None, None
+
+        return lambda batch: [answer(address) for address in batch[column]]
+
+    return make_client
+
+
 def fetch(
     pending: DataFrame, make_client: Callable[[], Client], partitions: int | None = None
 ) -> DataFrame:
@@ -187,6 +206,7 @@ __all__ = [
     "outcome_counts",
     "parse_responses",
     "pending_rows",
+    "per_request",
     "request_url",
     "resolve",
 ]

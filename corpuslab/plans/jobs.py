@@ -12,8 +12,8 @@ from corpuslab.fixed_values import ALPHAS, EVENTS, FOLDS, TOPICS
 from corpuslab.functions.dates import parse_day_first
 from corpuslab.operators import aggregate, collect, topk
 from corpuslab.plans import experiments
-from corpuslab.schemas import ARTICLES, CACHE, EXPERIMENT
-from corpuslab.sources.readers import read_cache, read_csv, require_path
+from corpuslab.schemas import ARTICLES, COLLECTED, EXPERIMENT
+from corpuslab.sources.readers import blank_missing_tokens, read_cache, read_csv, require_path
 from corpuslab.sources.writers import append_json_lines, write_best_parameters, write_csv
 from corpuslab.staging import stage
 
@@ -31,13 +31,14 @@ def collect_articles(
     """Fetch what the cache lacks, append it, write the article table; returns outcome counts.
 
     The client gets rows of (article_id, request) and answers (status, body) for each. Fetched
-    responses are staged, so a failure in a later step requests nothing again.
+    responses are staged, so a failure in a later step requests nothing again. Further columns of
+    ``base`` are carried into the cache and the article table.
     """
     spark = base.sparkSession
-    named = base.select("article_id", "article_url")
-    cached, _ = read_cache(spark, cache_path, CACHE)
-    cached = stage(cached, "cached")
-    pending = stage(collect.pending_rows(named, cached, "article_id"), "pending")
+    schema = T.StructType([*base.schema.fields, *COLLECTED.fields])
+    cached, _ = read_cache(spark, cache_path, schema)
+    cached = stage(cached.select("article_id"), "cached")
+    pending = stage(collect.pending_rows(base, cached, "article_id"), "pending")
 
     def ask(requests: DataFrame) -> DataFrame:
         fetched = collect.fetch(requests, make_client, partitions)
@@ -52,26 +53,30 @@ def collect_articles(
     rows = collect.new_cache_rows(resolved)
     rows = rows.withColumn("collected_at", F.current_timestamp().cast("string"))
     append_json_lines(rows, cache_path)
-    stored, _ = read_cache(spark, cache_path, CACHE)
+    stored, _ = read_cache(spark, cache_path, schema)
     order = [F.asc("collected_at"), F.asc("article_text")]
     write_csv(collect.finalize(stored, order), output_path)
-    return collect.outcome_counts(named, cached, resolved)
+    return collect.outcome_counts(base, cached, resolved)
+
+
+def _read(spark: SparkSession, path: str, schema: T.StructType, hint: str) -> DataFrame:
+    """A CSV table in which texts such as ``NA`` count as missing."""
+    return blank_missing_tokens(read_csv(spark, require_path(spark, path, hint), schema))
 
 
 def prepare_dataset(
     spark: SparkSession, articles_path: str, train_path: str, dev_path: str, **balance
 ) -> None:
     """Write the train and dev part of the article table as CSV."""
-    require_path(spark, articles_path, "Collect the articles first.")
     # A CSV scan reads whole lines for every column; the split needs several narrow passes.
-    articles = stage(read_csv(spark, articles_path, ARTICLES), "articles")
+    articles = stage(_read(spark, articles_path, ARTICLES, "Collect the articles first."), "articles")
     rows = experiments.prepare_articles(articles, **balance)
     for name, path in (("train", train_path), ("test", dev_path)):
         write_csv(rows.filter(F.col("split") == name).select(*EXPERIMENT.fieldNames()), path)
 
 
 def read_experiment(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, require_path(spark, path, "Prepare the dataset first."), EXPERIMENT)
+    return _read(spark, path, EXPERIMENT, "Prepare the dataset first.")
 
 
 def run_main_experiment(
@@ -126,8 +131,7 @@ def run_cross_datasets(spark: SparkSession, paths: dict[str, str], result_path:
 
 def analyse(spark: SparkSession, articles_path: str, result_path: str) -> list[str]:
     """Write every descriptive report as CSV below ``result_path``; returns their names."""
-    require_path(spark, articles_path, "Collect the articles first.")
-    raw = read_csv(spark, articles_path, ARTICLES)
+    raw = _read(spark, articles_path, ARTICLES, "Collect the articles first.")
     rows = raw.withColumn("debunk_date", parse_day_first(F.col("debunk_date")))
     # All reports read the same rows; CSV would be parsed once per report.
     rows = stage(rows, "articles")

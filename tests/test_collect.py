@@ -90,6 +90,29 @@ def test_fetch_and_parse(frame):
     ]
 
 
+def test_one_failing_request_does_not_fail_the_batch(frame):
+    def make_ask():
+        def ask(address):
+            if address == "u2":
+                raise OSError("no answer")
+            return 200, json.dumps({"objects": [{"text": address}]})
+
+        return ask
+
+    base = frame([("1", "u1"), ("2", "u2"), ("3", "u3")], "article_id string, request string")
+    fetched = collect.fetch(base.coalesce(1), collect.per_request(make_ask))
+    found = rows_of(collect.parse_responses(fetched, "article_id"), "article_id", "status", "text")
+    assert found == [("1", 200, "u1"), ("2", None, None), ("3", 200, "u3")]
+
+
+def test_csv_columns_are_found_by_name(spark, frame, tmp_path):
+    writers.write_csv(frame([("1", 2, "x")], "a string, b int, c string"), str(tmp_path / "c"))
+    schema = T.StructType.fromDDL("c string, b int")
+    assert rows_of(readers.read_csv(spark, str(tmp_path / "c"), schema)) == [("x", 2)]
+    with pytest.raises(ValueError, match="missing columns: d"):
+        readers.read_csv(spark, str(tmp_path / "c"), T.StructType.fromDDL("d string"))
+
+
 def test_request_url(frame):
     df = frame([("http://a.b/?q=1",)], "u string")
     url = df.select(collect.request_url("https://service/article", F.col("u"), "key")).first()[0]

@@ -36,7 +36,9 @@ def clients():
 
 def test_collection_is_resumable(spark, tmp_path):
     base = spark.range(1, 41).select(
-        F.col("id").cast("string").alias("article_id"), F.concat(F.lit("http://a/"), "id").alias("article_url")
+        F.col("id").cast("string").alias("article_id"),
+        F.concat(F.lit("http://a/"), "id").alias("article_url"),
+        F.when(F.col("id") % 2 == 0, "support").otherwise("disinformation").alias("class"),
     )
     snapshots = base.filter("int(article_id) % 2 = 0").select(
         "article_url", F.lit(1).alias("ts"), F.concat(F.lit("archive/"), "article_id").alias("archive_url")
@@ -52,8 +54,10 @@ def test_collection_is_resumable(spark, tmp_path):
         for r in jobs.collect_articles(base, snapshots, clients(), cache, output).collect()
     )
     assert second["cached"] == 15 and sum(second.values()) == 40
-    schema = "article_id string, article_url string, article_text string, article_title string, collected_at string"
-    table = readers.read_csv(spark, output, T.StructType.fromDDL(schema))
+    schema = "article_title string, article_text string, article_id string"
+    table = readers.read_csv(spark, output, T.StructType.fromDDL(schema), all_columns=True)
+    assert table.columns == ["article_title", "article_text", "article_id", "article_url", "class", "collected_at"]
+    assert table.filter("class is null").count() == 0
     stored = {r["article_id"]: r["article_text"] for r in table.collect()}
     assert len(stored) == table.count() == second["cached"] + second["ok"] + second["ok_archive"]
     assert stored["6"] == "text 6"

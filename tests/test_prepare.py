@@ -6,8 +6,8 @@ from corpuslab.operators import aggregate, prepare
 from corpuslab.plans import experiments
 from corpuslab.sources.readers import require_columns
 
-# Articles per language: total, class of interest, other class. The first 14 rows are the
-# languages that the default filter keeps.
+# Fixed values. Articles per language: total, class of interest, other class. The first 14 rows
+# are the languages that the default filter keeps.
 PUBLISHED = """
 English 6546 425 6121
 Russian 5825 5356 469
