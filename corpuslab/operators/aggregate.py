@@ -16,21 +16,16 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, columns: list[str], count_null: bool = False) -> DataFrame:
-    """One row with the exact number of different values per column.
+    """(column, n): the exact number of different values per column, from one pass.
 
-    Every column is de-duplicated on its own key first, so no row is expanded once per column.
+    Values are de-duplicated in every partition before they are shuffled. With ``count_null`` null
+    counts as one value.
     """
-    parts = [
-        df.select(F.col(c).cast("string").alias("value"))
-        .distinct()
-        .agg((F.count("*") if count_null else F.count("value")).alias("n"))
-        .select(F.lit(c).alias("column"), "n")
-        for c in columns
-    ]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return union
+    values = [F.count_distinct(c) for c in columns]
+    if count_null:
+        values = [v + F.max(F.col(c).isNull().cast("long")) for v, c in zip(values, columns)]
+    counts = df.agg(*[v.alias(c) for v, c in zip(values, columns)])
+    return counts.unpivot([], columns, "column", "n")
 
 
 def cases_per_group(df: DataFrame, group: str, label: str) -> DataFrame:

@@ -51,13 +51,17 @@ def _assign(
     )
     # One row per stratum, each with at most one cut per slot.
     cuts = stage(cuts.withColumnRenamed("stratum", "_stratum"), "cuts")
-    keyed = df.withColumn("_stratum", stratum).withColumn("_key", key)
-    reached = F.filter("_cuts", lambda cut: cut["key"] >= F.col("_key"))
-    return (
-        keyed.join(cuts, "_stratum")
-        .withColumn(slot, F.get(reached, F.lit(0))["slot"])
-        .drop("_stratum", "_key", "_cuts")
-    )
+    keyed = df.withColumn("_key", key)
+    if within or strata:
+        cut = keyed.withColumn("_stratum", stratum).join(cuts, "_stratum")
+        found = F.get(F.filter("_cuts", lambda c: c["key"] >= F.col("_key")), F.lit(0))["slot"]
+    else:
+        # Without strata there is one row of cuts, and it becomes a part of the expression.
+        cut, one = keyed, cuts.first()
+        found = F.lit(None).cast(cuts.schema["_cuts"].dataType.elementType["slot"].dataType)
+        for last, name in reversed(one["_cuts"] if one else []):
+            found = F.when(F.col("_key") <= last, F.lit(name)).otherwise(found)
+    return cut.withColumn(slot, found).drop("_stratum", "_key", "_cuts")
 
 
 def _train_targets(test_share: float) -> Callable[[DataFrame], DataFrame]:

@@ -47,6 +47,12 @@ def test_plain_split_has_the_exact_size(frame):
     assert dict(rows_of(found)) == expected_split([(i, "") for i in range(101)])
 
 
+def test_empty_input_gives_empty_parts(frame):
+    df = frame([], "id long, s string")
+    for found in (splits.train_test_split(df, "id"), splits.train_test_split(df, "id", ["s"])):
+        assert found.count() == 0 and dict(found.dtypes)["split"] == "string"
+
+
 def test_split_within_parts_equals_separate_splits(frame):
     rows = [(i, f"d{i % 2}", f"s{i % 5}") for i in range(233)]
     df = frame(rows, "id long, d string, s string")
