@@ -135,6 +135,19 @@ def fold_mean_std(scores: DataFrame, language: str = "language") -> DataFrame:
     )
 
 
+def in_given_order(table: DataFrame, names: list[str], column: str, value: str) -> DataFrame:
+    """(position, column, ...): the named rows of a report in the given order.
+
+    A name without a row is an error, raised when the report is read.
+    """
+    order = literal_table(table.sparkSession, ["position", column], list(enumerate(names)))
+    message = F.concat(F.lit(f"no row for {column} "), F.col(column))
+    checked = F.when(F.col(value).isNotNull(), F.col(value)).otherwise(
+        F.raise_error(message).cast("double")
+    )
+    return order.join(table, column, "left").withColumn(value, checked).orderBy("position")
+
+
 def cv_report(
     predictions: DataFrame,
     languages: list[str],
@@ -145,7 +158,6 @@ def cv_report(
 
     A language without predictions is an error, raised when the report is read.
     """
-    order = literal_table(predictions.sparkSession, ["position", language], list(enumerate(languages)))
     pairs = pair_counts(predictions, [fold, language])
     means = (
         fold_scores(pairs, fold, language)
@@ -156,13 +168,8 @@ def cv_report(
             F.avg("weight").alias("weight"),
         )
     )
-    checked = F.when(F.col("f1_mean").isNotNull(), F.col("f1_mean")).otherwise(
-        F.raise_error(F.concat(F.lit("no predictions for language "), F.col(language))).cast("double")
-    )
-    rows = (
-        F.broadcast(order)
-        .join(means, language, "left")
-        .select("position", F.col(language).alias("row"), checked.alias("f1_mean"), "f1_std", "weight")
+    rows = in_given_order(means, languages, language, "f1_mean").select(
+        "position", F.col(language).alias("row"), "f1_mean", "f1_std", "weight"
     )
     base = len(languages)
     summary = rows.agg(

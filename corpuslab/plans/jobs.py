@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from corpuslab.fixed_values import ALPHAS, EVENTS, FOLDS, TOPICS
 from corpuslab.functions.dates import parse_day_first
 from corpuslab.operators import aggregate, collect, topk
+from corpuslab.operators.evaluate import in_given_order
 from corpuslab.plans import experiments
 from corpuslab.schemas import ARTICLES, COLLECTED, EXPERIMENT
 from corpuslab.sources.readers import blank_missing_tokens, read_cache, read_csv, require_path
@@ -87,12 +88,18 @@ def run_main_experiment(
     parameter_path: str,
     alphas: list[float] = ALPHAS,
     k: int = FOLDS,
+    languages: list[str] | None = None,
 ) -> None:
-    """Search on the dev part, validate on folds of the train part, write table and parameters."""
+    """Search on the dev part, validate on folds of the train part, write table and parameters.
+
+    ``languages`` selects and orders the rows of the table, which ends with their average.
+    """
     train = read_experiment(spark, train_path).withColumn("split", F.lit("train"))
     dev = read_experiment(spark, dev_path).withColumn("split", F.lit("test"))
     rows = stage(train.unionByName(dev), "experiment")
     table, best = experiments.main_experiment(rows, "article_id", alphas=alphas, k=k)
+    if languages:
+        table = in_given_order(table, [*languages, "Average"], "language", "f1_mean").drop("position")
     write_csv(table, result_path)
     write_best_parameters(best.select("alpha"), parameter_path)
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +41,3 @@ def log_metrics(spark: SparkSession, path: str, run: str, metrics: DataFrame) ->
     )
     rows = long.select(F.lit(run).alias("run"), "metric", "value")
     rows.to(METRICS).write.mode("append").parquet(path)
-
-
-def describe(parameters: dict) -> str:
-    """Parameters of a run as a stable text."""
-    return json.dumps(parameters, sort_keys=True)

@@ -86,7 +86,7 @@ def test_cv_report_order_and_missing_language(predictions):
     ]
     assert sum(r["weight"] for r in report[:3]) == pytest.approx(1.0)
     assert report[5]["f1_mean"] == pytest.approx(5 / 6) and report[8]["f1_mean"] == 0.5
-    with pytest.raises(PySparkException, match="no predictions for language it"):
+    with pytest.raises(PySparkException, match="no row for language it"):
         evaluate.cv_report(predictions, ["en", "it"]).collect()
 
 

@@ -93,7 +93,9 @@ def test_experiments_from_files(spark, articles_path, tmp_path):
     assert (train.count(), dev.count()) == (216, 24)
     assert train.filter("text like '%\n%'").count() > 0
 
-    jobs.run_main_experiment(spark, path["train"], path["dev"], path["main"], path["best"], k=4)
+    jobs.run_main_experiment(
+        spark, path["train"], path["dev"], path["main"], path["best"], k=4, languages=["Russian", "English"]
+    )
     schema = T.StructType.fromDDL("language string, f1_mean double, f1_std double")
     assert rows_of(readers.read_csv(spark, path["main"], schema), "language", "f1_mean") == [
         ("Average", 1.0), ("English", 1.0), ("Russian", 1.0)
