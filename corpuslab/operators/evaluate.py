@@ -156,7 +156,7 @@ def cv_report(
 ) -> DataFrame:
     """(position, row, f1_mean, f1_std, weight): languages in the given order, then summary rows.
 
-    A language without predictions is an error, raised when the report is read.
+    A language without predictions is an error.
     """
     pairs = pair_counts(predictions, [fold, language])
     means = (
@@ -171,6 +171,8 @@ def cv_report(
     rows = in_given_order(means, languages, language, "f1_mean").select(
         "position", F.col(language).alias("row"), "f1_mean", "f1_std", "weight"
     )
+    # Read by the summary and by the report itself.
+    rows = stage(rows, "language-rows")
     base = len(languages)
     summary = rows.agg(
         F.sum(F.col("f1_mean") * F.col("weight")).alias("Weighted F1"),
