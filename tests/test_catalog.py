@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from corpuslab.plans.catalog import QUERIES
+from corpuslab.plans.oracle import ORACLE
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = (
@@ -35,12 +37,12 @@ def sorted_rows(rows):
     return sorted((tuple(plain(v) for v in r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(spark, database, name):
-    result = entry_point.queries()[name](spark, FOLDER)
+    result = QUERIES[name](spark, FOLDER)
     columns = sorted(result.columns)
     found = sorted_rows(tuple(r[c] for c in columns) for r in result.collect())
-    cursor = database.execute(entry_point.oracle_sql()[name])
+    cursor = database.execute(ORACLE[name])
     names = [c[0] for c in cursor.description]
     expected = cursor.fetchall()
     assert sorted(names) == columns
@@ -51,7 +53,7 @@ def test_query_matches_sql(spark, database, name):
 
 def test_every_sql_has_a_query():
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
-    assert set(entry_point.queries()) - set(entry_point.oracle_sql()) == {"linear_svm"}
+    assert set(QUERIES) - set(ORACLE) == {"linear_svm"}
 
 
 def test_entry(spark):
