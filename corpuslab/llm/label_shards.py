@@ -20,7 +20,7 @@ from corpuslab.operators.joins import weighted_lookup
 from corpuslab.operators.ranking import global_rank
 
 SHARDS = 8
-ROUNDS = 4
+ROUNDS = 8
 # Steps of the hash order in which keys are let into a shard.
 STEPS = 1024
 

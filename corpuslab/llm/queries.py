@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuslab.llm import (
+    dart_minhash,
     host_rules,
     label_shards,
     licenses,
@@ -47,6 +48,10 @@ def op9_trie_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_dedup.exact_owners(documents(spark, sf_dir))
 
 
+def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_classes(documents(spark, sf_dir)).drop("text_key")
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_license_scan": op2_license_scan,
@@ -55,6 +60,7 @@ QUERIES = {
     "op6_host_rules": op6_host_rules,
     "op8_label_shards": op8_label_shards,
     "op9_trie_dedup": op9_trie_dedup,
+    "op10_dart_minhash": op10_dart_minhash,
 }
 
 ORACLE = {
