@@ -9,10 +9,9 @@ is the signature; a document in which a coordinate stays empty throws on under a
 Two documents agree in a coordinate with the probability of their weighted Jaccard similarity.
 
 Signatures are cut into bands. Documents with one band form a bucket; its members are compared with
-a leader, not with each other. Comparisons are exact. Where a bucket then still spans several
-components, further members lead, four times as many each round, against members of other components,
-until the bucket is one component or each of its members has led. So every two documents that share
-a band are compared, unless they are already known to be in one component.
+two leaders, not with each other, and comparisons are exact. What a bucket then holds of different
+components can only be similar through units that its smallest member lacks, so the members with
+such a unit in common form the buckets of a next turn, until no bucket holds two components.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm.common import row_numbers_from, staged
@@ -33,8 +32,6 @@ from corpuslab.operators.joins import weighted_lookup
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
-# Members of one rank window; larger buckets are ranked in several.
-WINDOW = 10_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -163,10 +160,10 @@ def _sign(bands: int, rows: int, at_once: int = 200_000):
                         [
                             piece.column(0), pa.array(np.arange(row, row + at - low)),
                             piece.column(1).cast(pa.string()), piece.column(2),
-                            pa.array(content, pa.binary()),
+                            pa.array(content, pa.binary()), pa.array([len(r) for r in regions], pa.int64()),
                             pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1))),
                         ],
-                        names=["doc_id", "row", "text", "text_key", "content", "keys"],
+                        names=["doc_id", "row", "text", "text_key", "content", "size", "keys"],
                     )
                     row += at - low
                     low = at
@@ -175,7 +172,9 @@ def _sign(bands: int, rows: int, at_once: int = 200_000):
     return run
 
 
-SIGNED_SQL = "doc_id long, row long, text string, text_key long, content binary, keys array<long>"
+SIGNED_SQL = (
+    "doc_id long, row long, text string, text_key long, content binary, size long, keys array<long>"
+)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -217,75 +216,106 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return staged(good, "similar")
 
 
-def similar_links(
-    members: DataFrame, texts: DataFrame, least: float, window: int = WINDOW
-) -> DataFrame:
-    """node, component for rows that are linked, from (band, key, row) with distinct rows per key.
+def _novel_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """pivot, row, text of the pivot, text of the row -> pivot, row, each unit the pivot lacks."""
+    known = WordHashes()
+    last, base = None, None
+    for batch in batches:
+        columns = [batch.column(i).to_pylist() for i in range(4)]
+        pivots, rows, found = [], [], []
+        for p, row, s, t in zip(*columns):
+            if p != last:
+                last, base = p, units(shingles(word_hashes(s, known)))
+            novel = np.setdiff1d(units(shingles(word_hashes(t, known))), base, assume_unique=True)
+            pivots.append(np.full(len(novel), p))
+            rows.append(np.full(len(novel), row))
+            found.append(novel.view(np.int64))
+        if found:
+            yield pa.record_batch(
+                [pa.array(np.concatenate(c).astype(np.int64)) for c in (pivots, rows, found)],
+                names=["band", "row", "key"],
+            )
+
+
+def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Adds the component of each row; a row without links is its own."""
+    labels = found.withColumnRenamed("node", "row")
+    labelled = rows.join(labels, "row", "left")
+    return labelled.withColumn("component", F.coalesce("component", "row"))
+
+
+def _spanning(labelled: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold more than one component."""
+    spans = labelled.groupBy("band", "key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    return labelled.join(spans.filter("low < high").select("band", "key"), ["band", "key"])
+
 
-    Buckets of one row are left out first. Bucket sizes are summed in the map tasks. Pairs are made
-    between leaders and members only, and each is compared once.
+def similar_links(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """node, component of linked rows, from (band, key, row, size) and (row, text).
+
+    Every bucket is compared with a leader: first the row that shares most buckets (the centre of a
+    group of near copies), then the pivot, its row of the fewest units. Let x and y of a bucket be
+    similar and in different components. One of them, say x, is not similar to the pivot p, and y
+    has no fewer units than p; if x and y shared only units of p, x and y would be no more similar
+    than x and p. So they share a unit that p lacks, and the rows with such a unit are a bucket of
+    the next turn. No pair that shares a bucket is lost, and no bucket is compared all with all.
     """
     sizes = members.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = staged(members.join(sizes, ["band", "key"]), "shared-bands")
-    # The first leader is the row that shares most: the centre of a group of near copies.
-    weight = shared.groupBy("row").agg(F.sum("n").alias("weight"))
-    shared = staged(shared.join(weight, "row"), "weighted-bands")
-    leaders = shared.groupBy("band", "key").agg(
-        F.max_by("row", F.struct("weight", -F.col("row"))).alias("leader")
-    )
-    led = shared.select("band", "key", "row").join(leaders, ["band", "key"])
-    pairs = led.filter("leader <> row").select(
-        F.least("leader", "row").alias("a"), F.greatest("leader", "row").alias("b")
-    )
-    tried = staged(pairs.distinct(), "tried")
-    texts = texts.join(staged(shared.select("row").distinct(), "sharing"), "row", "left_semi")
-    texts = staged(texts, "sharing-texts")
-    links = _verified(tried, texts, least)
-    # Buckets of two rows are done; of larger ones, those that span components go on.
-    open_rows = shared.filter("n > 2").select("band", "key", "row", "n", "weight")
-    led_so_far = leaders.select("band", "key", F.col("leader").alias("row"))
-    turn = 0
+    ranks = shared.groupBy("row").agg(F.sum("n").alias("weight"), F.first("size").alias("size"))
+    ranks = staged(ranks, "sharing")
+    texts = staged(texts.join(ranks.select("row"), "row", "left_semi"), "sharing-texts")
+    buckets = shared.select("band", "key", "row")
+    links = tried = found = None
     while True:
-        found = components(links)
-        labelled = open_rows.join(found.withColumnRenamed("node", "row"), "row", "left").withColumn(
-            "component", F.coalesce("component", "row")
-        )
-        labelled = staged(labelled, "labelled")
-        spans = labelled.groupBy("band", "key").agg(
-            F.min("component").alias("low"), F.max("component").alias("high")
-        )
-        spans = spans.filter("low < high")
-        left = labelled.join(spans, ["band", "key"])
-        fresh = left.join(led_so_far, ["band", "key", "row"], "left_anti")
-        # Members that are not in the component of the first leader lead before the others.
-        main = leaders.join(found.withColumnRenamed("node", "leader"), "leader", "left").select(
-            "band", "key", F.coalesce("component", "leader").alias("main")
-        )
-        portion = F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / window))
-        order = Window.partitionBy("band", "key", portion).orderBy(
-            F.col("component") == F.col("main"), F.desc("weight"), "row"
+        ranked = buckets.join(ranks, "row")
+        for best in (
+            F.max_by("row", F.struct("weight", -F.col("row"))),
+            F.min_by("row", F.struct("size", "row")),
+        ):
+            if found is not None:
+                ranked = _spanning(_with_component(ranked, found)).drop("component")
+            ranked = staged(ranked, "ranked")
+            leaders = ranked.groupBy("band", "key").agg(best.alias("leader"))
+            led = ranked.select("band", "key", "row").join(leaders, ["band", "key"])
+            led = led.filter("leader <> row")
+            pairs = led.select(
+                F.least("leader", "row").alias("a"), F.greatest("leader", "row").alias("b")
+            ).distinct()
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = staged(pairs, "pairs")
+            tried = pairs if tried is None else staged(tried.unionByName(pairs), "tried")
+            more = _verified(pairs, texts, least)
+            links = more if found is None else more.unionByName(
+                found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            )
+            found = components(links)
+        # ``leaders`` holds the pivots of the buckets.
+        open_rows = _spanning(_with_component(ranked.select("band", "key", "row"), found))
+        around = open_rows.join(leaders, ["band", "key"]).filter("leader <> row")
+        around = staged(around.select("leader", "row", "component").distinct(), "around-pivots")
+        if around.isEmpty():
+            return found
+        pivots = around.select(F.col("leader").alias("row")).distinct()
+        home = _with_component(pivots, found).select(F.col("row").alias("leader"), F.col("component").alias("home"))
+        texted = around.select("leader", "row").join(texts.withColumnRenamed("text", "t"), "row")
+        base = texts.withColumnRenamed("row", "leader").withColumnRenamed("text", "p")
+        novel = texted.join(base, "leader").select("leader", "row", "p", "t")
+        novel = staged(novel.mapInArrow(_novel_units, "band long, row long, key long"), "novel-units")
+        seeking = around.join(home, "leader").select(
+            F.col("leader").alias("band"), "row", "component", (F.col("component") != F.col("home")).alias("seeks")
         )
-        chosen = fresh.join(main, ["band", "key"]).withColumn("place", F.row_number().over(order))
-        chosen = staged(
-            chosen.filter(F.col("place") <= 4**turn).select(
-                "band", "key", F.col("row").alias("leader"), F.col("component").alias("own")
-            ),
-            "leaders",
+        labelled = novel.join(seeking, ["band", "row"])
+        worth = labelled.groupBy("band", "key").agg(
+            F.min("component").alias("low"), F.max("component").alias("high"), F.max("seeks").alias("seeks")
         )
-        if chosen.isEmpty():
+        worth = worth.filter("low < high and seeks").select("band", "key")
+        buckets = staged(novel.join(worth, ["band", "key"]).select("band", "key", "row"), "buckets")
+        if buckets.isEmpty():
             return found
-        led_so_far = staged(
-            led_so_far.unionByName(chosen.select("band", "key", F.col("leader").alias("row"))), "led"
-        )
-        pairs = left.join(chosen, ["band", "key"]).filter(F.col("component") != F.col("own"))
-        pairs = pairs.select(F.least("leader", "row").alias("a"), F.greatest("leader", "row").alias("b"))
-        new = staged(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = staged(tried.unionByName(new), "tried")
-        more = _verified(new, texts, least)
-        stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        links = stars.unionByName(more)
-        open_rows = left.select("band", "key", "row", "n", "weight")
-        turn += 1
 
 
 def near_classes(
@@ -317,8 +347,9 @@ def near_classes(
     groups = staged(groups, "contents")
     # One row for each set of equal words takes part.
     nodes = groups.select(F.col("node").alias("row"))
-    members = signed.select("row", "keys").join(nodes, "row", "left_semi")
-    members = members.select("row", F.posexplode("keys").alias("band", "key"))
+    members = signed.select("row", "size", "keys").join(nodes, "row", "left_semi")
+    members = members.select("row", "size", F.posexplode("keys").alias("band", "key"))
+    members = members.withColumn("band", F.col("band").cast("long"))
     found = similar_links(members, signed.select("row", "text"), least)
     named = groups.join(found, "node", "left").withColumn("class", F.coalesce("component", "node"))
     named = staged(named.drop("component"), "named")
