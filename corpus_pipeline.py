@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslab.llm import host_rules, packing, trie_dedup
+from corpuslab.llm import dart_minhash, disclosure, host_rules, packing, trie_dedup
 from corpuslab.llm.common import WORD_BPE, documents, staged, tokenizer_path
 
 
@@ -22,6 +22,16 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return trie_dedup.drop_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return dart_minhash.drop_near(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with identifiers and disclosing words masked."""
+    return disclosure.sanitise(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in training sequences."""
     return packing.pack(docs, tokenizer_path(WORD_BPE))
@@ -30,6 +40,8 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 STAGES = [
     ("quality rules", quality_rules),
     ("exact dedup", exact_dedup),
+    ("near dedup", near_dedup),
+    ("personal data", personal_data),
     ("best-fit packing", best_fit_packing),
 ]
 

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpuslab.llm import (
     dart_minhash,
+    disclosure,
     host_rules,
     label_shards,
     licenses,
     packing,
     prefix_bpe,
+    sentence_spans,
     token_files,
     trie_dedup,
 )
@@ -36,10 +38,18 @@ def op4_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.coding_digest(documents(spark, sf_dir), tokenizer_path(BYTE_BPE))
 
 
+def op5_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.span_digest(documents(spark, sf_dir))
+
+
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(documents(spark, sf_dir))
 
 
+def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.remove_repeats(documents(spark, sf_dir))
+
+
 def op8_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_shards.shard_documents(documents(spark, sf_dir))
 
@@ -57,7 +67,9 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op3_token_files": op3_token_files,
     "op4_prefix_bpe": op4_prefix_bpe,
+    "op5_disclosure": op5_disclosure,
     "op6_host_rules": op6_host_rules,
+    "op7_sentence_spans": op7_sentence_spans,
     "op8_label_shards": op8_label_shards,
     "op9_trie_dedup": op9_trie_dedup,
     "op10_dart_minhash": op10_dart_minhash,
