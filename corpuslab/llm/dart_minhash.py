@@ -9,9 +9,8 @@ is the signature; a document in which a coordinate stays empty throws on under a
 Two documents agree in a coordinate with the probability of their weighted Jaccard similarity.
 
 Signatures are cut into bands. Documents with one band form a bucket; its members are compared with
-two leaders, not with each other, and comparisons are exact. What a bucket then holds of different
-components can only be similar through units that its smallest member lacks, so the members with
-such a unit in common form the buckets of a next turn, until no bucket holds two components.
+a leader, and comparisons are exact. Members outside the leader's component are then compared with
+all members of the bucket, inside tasks and in blocks, so that no table of pairs arises.
 """
 
 from __future__ import annotations
@@ -160,10 +159,10 @@ def _sign(bands: int, rows: int, at_once: int = 200_000):
                         [
                             piece.column(0), pa.array(np.arange(row, row + at - low)),
                             piece.column(1).cast(pa.string()), piece.column(2),
-                            pa.array(content, pa.binary()), pa.array([len(r) for r in regions], pa.int64()),
+                            pa.array(content, pa.binary()),
                             pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1))),
                         ],
-                        names=["doc_id", "row", "text", "text_key", "content", "size", "keys"],
+                        names=["doc_id", "row", "text", "text_key", "content", "keys"],
                     )
                     row += at - low
                     low = at
@@ -173,7 +172,7 @@ def _sign(bands: int, rows: int, at_once: int = 200_000):
 
 
 SIGNED_SQL = (
-    "doc_id long, row long, text string, text_key long, content binary, size long, keys array<long>"
+    "doc_id long, row long, text string, text_key long, content binary, keys array<long>"
 )
 
 
@@ -216,106 +215,100 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return staged(good, "similar")
 
 
-def _novel_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """pivot, row, text of the pivot, text of the row -> pivot, row, each unit the pivot lacks."""
-    known = WordHashes()
-    last, base = None, None
-    for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(4)]
-        pivots, rows, found = [], [], []
-        for p, row, s, t in zip(*columns):
-            if p != last:
-                last, base = p, units(shingles(word_hashes(s, known)))
-            novel = np.setdiff1d(units(shingles(word_hashes(t, known))), base, assume_unique=True)
-            pivots.append(np.full(len(novel), p))
-            rows.append(np.full(len(novel), row))
-            found.append(novel.view(np.int64))
-        if found:
-            yield pa.record_batch(
-                [pa.array(np.concatenate(c).astype(np.int64)) for c in (pivots, rows, found)],
-                names=["band", "row", "key"],
-            )
-
-
 def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Adds the component of each row; a row without links is its own."""
-    labels = found.withColumnRenamed("node", "row")
-    labelled = rows.join(labels, "row", "left")
+    labelled = rows.join(found.withColumnRenamed("node", "row"), "row", "left")
     return labelled.withColumn("component", F.coalesce("component", "row"))
 
 
-def _spanning(labelled: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold more than one component."""
-    spans = labelled.groupBy("band", "key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")
-    )
-    return labelled.join(spans.filter("low < high").select("band", "key"), ["band", "key"])
+def _compare_blocks(least: float):
+    """Rows (band, key, sb, mb, side, row, text), those of a block together and seekers first.
+
+    Gives the links between the seekers and the members of each block. Shared units are counted
+    through a list of the seekers' units; members pass by one at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        block, seekers, index = None, [], None
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(7)]
+            left, right = [], []
+            for *name, side, row, text in zip(*columns):
+                if name != block:
+                    block, seekers, index = name, [], None
+                own = units(shingles(word_hashes(text, known)))
+                if side == 0:
+                    seekers.append((row, own))
+                    continue
+                if index is None:
+                    every = np.concatenate([u for _, u in seekers])
+                    owner = np.repeat(np.arange(len(seekers)), [len(u) for _, u in seekers])
+                    order = np.argsort(every, kind="stable")
+                    sizes = np.array([len(u) for _, u in seekers])
+                    index = (every[order], owner[order], sizes, np.array([r for r, _ in seekers]))
+                every, owner, sizes, rows = index
+                low, high = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+                n = high - low
+                at = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(rows))
+                near = (both >= (least - 1e-12) * (sizes + len(own) - both)) & (rows != row)
+                left += rows[near].tolist()
+                right += [row] * int(near.sum())
+            yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
+    return run
 
-def similar_links(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """node, component of linked rows, from (band, key, row, size) and (row, text).
 
-    Every bucket is compared with a leader: first the row that shares most buckets (the centre of a
-    group of near copies), then the pivot, its row of the fewest units. Let x and y of a bucket be
-    similar and in different components. One of them, say x, is not similar to the pivot p, and y
-    has no fewer units than p; if x and y shared only units of p, x and y would be no more similar
-    than x and p. So they share a unit that p lacks, and the rows with such a unit are a bucket of
-    the next turn. No pair that shares a bucket is lost, and no bucket is compared all with all.
+def similar_links(
+    members: DataFrame, texts: DataFrame, least: float, block: tuple[int, int] = (200, 1000)
+) -> DataFrame:
+    """node, component of linked rows, from (band, key, row) and (row, text).
+
+    Every bucket is compared with a leader, the row that shares most buckets (the centre of a group
+    of near copies). Where a bucket then holds several components, its rows outside the leader's
+    component seek links among all its rows. They are compared inside tasks, in blocks of so many
+    seekers and rows, which give links and no pairs. So no pair of a bucket is left out but those
+    within the leader's component.
     """
     sizes = members.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = staged(members.join(sizes, ["band", "key"]), "shared-bands")
-    ranks = shared.groupBy("row").agg(F.sum("n").alias("weight"), F.first("size").alias("size"))
-    ranks = staged(ranks, "sharing")
+    ranks = staged(shared.groupBy("row").agg(F.sum("n").alias("weight")), "sharing")
     texts = staged(texts.join(ranks.select("row"), "row", "left_semi"), "sharing-texts")
-    buckets = shared.select("band", "key", "row")
-    links = tried = found = None
-    while True:
-        ranked = buckets.join(ranks, "row")
-        for best in (
-            F.max_by("row", F.struct("weight", -F.col("row"))),
-            F.min_by("row", F.struct("size", "row")),
-        ):
-            if found is not None:
-                ranked = _spanning(_with_component(ranked, found)).drop("component")
-            ranked = staged(ranked, "ranked")
-            leaders = ranked.groupBy("band", "key").agg(best.alias("leader"))
-            led = ranked.select("band", "key", "row").join(leaders, ["band", "key"])
-            led = led.filter("leader <> row")
-            pairs = led.select(
-                F.least("leader", "row").alias("a"), F.greatest("leader", "row").alias("b")
-            ).distinct()
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            pairs = staged(pairs, "pairs")
-            tried = pairs if tried is None else staged(tried.unionByName(pairs), "tried")
-            more = _verified(pairs, texts, least)
-            links = more if found is None else more.unionByName(
-                found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            )
-            found = components(links)
-        # ``leaders`` holds the pivots of the buckets.
-        open_rows = _spanning(_with_component(ranked.select("band", "key", "row"), found))
-        around = open_rows.join(leaders, ["band", "key"]).filter("leader <> row")
-        around = staged(around.select("leader", "row", "component").distinct(), "around-pivots")
-        if around.isEmpty():
-            return found
-        pivots = around.select(F.col("leader").alias("row")).distinct()
-        home = _with_component(pivots, found).select(F.col("row").alias("leader"), F.col("component").alias("home"))
-        texted = around.select("leader", "row").join(texts.withColumnRenamed("text", "t"), "row")
-        base = texts.withColumnRenamed("row", "leader").withColumnRenamed("text", "p")
-        novel = texted.join(base, "leader").select("leader", "row", "p", "t")
-        novel = staged(novel.mapInArrow(_novel_units, "band long, row long, key long"), "novel-units")
-        seeking = around.join(home, "leader").select(
-            F.col("leader").alias("band"), "row", "component", (F.col("component") != F.col("home")).alias("seeks")
-        )
-        labelled = novel.join(seeking, ["band", "row"])
-        worth = labelled.groupBy("band", "key").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.max("seeks").alias("seeks")
-        )
-        worth = worth.filter("low < high and seeks").select("band", "key")
-        buckets = staged(novel.join(worth, ["band", "key"]).select("band", "key", "row"), "buckets")
-        if buckets.isEmpty():
-            return found
+    leaders = shared.join(ranks, "row").groupBy("band", "key").agg(
+        F.max_by("row", F.struct("weight", -F.col("row"))).alias("leader")
+    )
+    leaders = staged(leaders, "leaders")
+    led = shared.join(leaders, ["band", "key"]).filter("leader <> row")
+    pairs = led.select(F.least("leader", "row").alias("a"), F.greatest("leader", "row").alias("b"))
+    links = _verified(staged(pairs.distinct(), "pairs"), texts, least)
+    found = components(links)
+
+    labelled = staged(_with_component(shared.filter("n > 2"), found), "labelled")
+    main = labelled.join(leaders, ["band", "key"]).filter("leader = row")
+    main = main.select("band", "key", F.col("component").alias("main"))
+    seeking = labelled.join(main, ["band", "key"]).withColumn("seeks", F.col("component") != F.col("main"))
+    counted = seeking.groupBy("band", "key").agg(F.sum(F.col("seeks").cast("long")).alias("n_seek"))
+    blocks = counted.filter("n_seek > 0").select(
+        "band", "key", F.ceil(F.col("n_seek") / block[0]).cast("int").alias("n_sb")
+    )
+    open_rows = seeking.join(blocks, ["band", "key"]).withColumn(
+        "n_mb", F.ceil(F.col("n") / block[1]).cast("int")
+    )
+    open_rows = staged(open_rows.select("band", "key", "row", "seeks", "n_sb", "n_mb"), "open")
+    if open_rows.isEmpty():
+        return found
+    sb = F.pmod(F.xxhash64("row"), F.col("n_sb")).cast("int").alias("sb")
+    mb = F.pmod(F.xxhash64("row", F.lit(1)), F.col("n_mb")).cast("int").alias("mb")
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+    seekers = open_rows.filter("seeks").select("band", "key", sb, every("n_mb", "mb"), F.lit(0).alias("side"), "row")
+    others = open_rows.select("band", "key", every("n_sb", "sb"), mb, F.lit(1).alias("side"), "row")
+    dealt = seekers.unionByName(others).join(texts, "row")
+    names = ["band", "key", "sb", "mb"]
+    dealt = dealt.select(*names, "side", "row", "text").repartition(*names).sortWithinPartitions(*names, "side")
+    more = staged(dealt.mapInArrow(_compare_blocks(least), "a long, b long"), "block-links")
+    stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return components(stars.unionByName(more))
 
 
 def near_classes(
@@ -347,9 +340,8 @@ def near_classes(
     groups = staged(groups, "contents")
     # One row for each set of equal words takes part.
     nodes = groups.select(F.col("node").alias("row"))
-    members = signed.select("row", "size", "keys").join(nodes, "row", "left_semi")
-    members = members.select("row", "size", F.posexplode("keys").alias("band", "key"))
-    members = members.withColumn("band", F.col("band").cast("long"))
+    members = signed.select("row", "keys").join(nodes, "row", "left_semi")
+    members = members.select("row", F.posexplode("keys").alias("band", "key"))
     found = similar_links(members, signed.select("row", "text"), least)
     named = groups.join(found, "node", "left").withColumn("class", F.coalesce("component", "node"))
     named = staged(named.drop("component"), "named")
