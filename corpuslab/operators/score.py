@@ -1,8 +1,7 @@
-"""Batch scoring with a pluggable classifier."""
+"""Batch scoring with a pluggable classifier or with fitted term weights."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions.scores import predicted_class
+from corpuslab.functions.text import word_tokens
+from corpuslab.operators.joins import hot_key_lookup
+from corpuslab.staging import stage
 
 # Takes the texts of a batch and returns one row of class scores per text.
 Scorer = Callable[[pd.Series], np.ndarray]
@@ -36,35 +38,42 @@ def batch_score(
     return scored.withColumn("pred", predicted_class(F.col("scores"), sorted(classes)))
 
 
-def lexicon(counts: DataFrame, classes: tuple[int, ...], size: int) -> dict[str, list[float]]:
-    """Smoothed log shares per class of the ``size`` most frequent terms of (term, n0, n1, ...).
+def term_weights(
+    df: DataFrame, text: str, label: str, classes: tuple[int, ...] = (0, 1)
+) -> DataFrame:
+    """(term, s0, s1, ...): smoothed log share of every term in each class of the labelled rows.
 
-    Only the requested number of rows reaches the driver.
+    The result is an ordinary table: it can be written, read and applied to other articles.
     """
-    columns = [f"n{c}" for c in classes]
-    top = counts.orderBy(F.desc(F.expr(" + ".join(columns))), "term").limit(size)
-    rows = top.select("term", *columns).collect()
-    mass = [sum(row[c] for row in rows) for c in columns]
-    return {
-        row["term"]: [float(np.log((row[c] + 1) / (m + len(rows)))) for c, m in zip(columns, mass)]
-        for row in rows
-    }
-
-
-def lexicon_scorer(weights: dict[str, list[float]], n_classes: int) -> Callable[[], Scorer]:
-    """A scorer that adds the weights of the listed words of a text."""
-
-    def make() -> Scorer:
-        word = re.compile(r"\w{2,}")
-
-        def score(texts: pd.Series) -> np.ndarray:
-            out = np.zeros((len(texts), n_classes))
-            for i, text in enumerate(texts):
-                hits = [weights[w] for w in word.findall((text or "").lower()) if w in weights]
-                if hits:
-                    out[i] = np.sum(hits, axis=0)
-            return out
-
-        return score
+    words = df.select(label, F.explode(word_tokens(F.col(text))).alias("term"))
+    counts = stage(
+        words.groupBy("term").agg(*[F.count_if(F.col(label) == c).alias(f"n{c}") for c in classes]),
+        "term-counts",
+    )
+    # One row of totals.
+    sums = counts.agg(F.count("*").alias("terms"), *[F.sum(f"n{c}").alias(f"n{c}") for c in classes])
+    mass = sums.first()
+    shares = [
+        F.ln((F.col(f"n{c}") + 1) / F.lit(float((mass[f"n{c}"] or 0) + mass["terms"]))).alias(f"s{c}")
+        for c in classes
+    ]
+    return counts.select("term", *shares)
+
+
+def score_terms(
+    df: DataFrame, weights: DataFrame, row_id: str, text: str, classes: tuple[int, ...] = (0, 1)
+) -> DataFrame:
+    """(id, scores, pred) by the summed weights of the words of each text.
 
-    return make
+    Unknown words weigh nothing, and a text without known words scores 0 for every class. Rows with
+    a frequent word meet a broadcast of bounded length, see ``weighted_lookup``.
+    """
+    words = df.select(row_id, F.explode(word_tokens(F.col(text))).alias("term"))
+    counted = stage(words.groupBy(row_id, "term").agg(F.count("*").alias("tf")), "term-counts")
+    known = hot_key_lookup(counted, weights, "term")
+    totals = known.groupBy(row_id).agg(
+        *[F.sum(F.col("tf") * F.col(f"s{c}")).alias(f"s{c}") for c in classes]
+    )
+    scores = F.array(*[F.coalesce(f"s{c}", F.lit(0.0)) for c in classes]).alias("scores")
+    scored = df.select(row_id).join(totals, row_id, "left").select(row_id, scores)
+    return scored.withColumn("pred", predicted_class(F.col("scores"), sorted(classes)))

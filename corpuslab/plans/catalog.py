@@ -597,14 +597,9 @@ def linear_svm(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def batch_score(spark: SparkSession, folder: str) -> DataFrame:
-    """Scores of all articles by the 500 most frequent words of the labelled ones."""
-    rows = stage(views.labelled(spark, folder).select("article_text", "label"), "labelled")
-    words = rows.select("label", F.explode(text.word_tokens(F.col("article_text"))).alias("term"))
-    counts = words.groupBy("term").agg(
-        *[F.count_if(F.col("label") == c).alias(f"n{c}") for c in (0, 1)]
-    )
-    scorer = score.lexicon_scorer(score.lexicon(counts, (0, 1), 500), 2)
-    scored = score.batch_score(views.articles(spark, folder), scorer, "article_id", "article_text")
+    """Scores of all articles by the weights of all terms of the labelled ones."""
+    weights = score.term_weights(views.labelled(spark, folder), "article_text", "label")
+    scored = score.score_terms(views.articles(spark, folder), weights, "article_id", "article_text")
     return scored.select(
         "article_id",
         "pred",

@@ -610,7 +610,7 @@ ORACLE: dict[str, str] = {
     ),
     "ngram_counts": sql(
         """SELECT ngram, CAST(len(string_split(ngram, ' ')) AS INT) AS n, count(*) AS sentences FROM found
-        GROUP BY ngram HAVING count(*) >= 5""",
+        GROUP BY ngram""",
         "articles",
         **SENTENCES,
         found=f"""SELECT unnest(list_distinct(list_concat({ngram_list('words', 3)},
@@ -673,8 +673,7 @@ ORACLE: dict[str, str] = {
           ON s.article_id = a.article_id)""",
         "labelled",
         seen=f"SELECT label, unnest({WORDS.format('article_text')}) AS term FROM labelled",
-        counted="""SELECT term, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM seen GROUP BY 1
-            ORDER BY n0 + n1 DESC, term LIMIT 500""",
+        counted="""SELECT term, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM seen GROUP BY 1""",
         lexicon="""SELECT term, ln((n0 + 1) / (sum(n0) OVER () + count(*) OVER ())) AS s0,
             ln((n1 + 1) / (sum(n1) OVER () + count(*) OVER ())) AS s1 FROM counted""",
         words=f"SELECT article_id, unnest({WORDS.format('article_text')}) AS term FROM articles",

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.session import spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -14,7 +13,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def articles(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document with class, publisher, dates and keywords."""
-    documents = spread(table(spark, folder, "documents")).alias("d")
+    documents = table(spark, folder, "documents").alias("d")
     orders = table(spark, folder, "orders").alias("o")
     part = table(spark, folder, "part").alias("p")
     labels = table(spark, folder, "labels").alias("l")
@@ -77,7 +76,7 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def crawl_base(spark: SparkSession, folder: str) -> DataFrame:
-    pages = spread(table(spark, folder, "pages"))
+    pages = table(spark, folder, "pages")
     return pages.select(F.col("page_id").alias("article_id"), F.col("url").alias("article_url"))
 
 
@@ -142,6 +141,6 @@ def archive_responses(spark: SparkSession, folder: str) -> DataFrame:
 
 def debunk_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Documents whose every line ends with an address."""
-    documents = spread(table(spark, folder, "documents"))
+    documents = table(spark, folder, "documents")
     address = F.concat(F.lit(" https://news.example.org/"), F.col("doc_id").cast("string"), F.lit(".\n"))
     return documents.select("doc_id", F.replace("text", F.lit("\n"), address).alias("text"))

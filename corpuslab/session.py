@@ -38,14 +38,3 @@ def literal_table(spark: SparkSession, names: list[str], rows: list[tuple]) -> D
     cells = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
     return spark.range(1).select(F.explode(F.array(*cells)).alias("_row")).select("_row.*")
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition a scan that has fewer partitions than the session has cores.
-
-    A table of one small file would otherwise be tokenised by one core. A scan that already
-    fills the cores is returned as it is, so a large table is never shuffled here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)

@@ -164,3 +164,27 @@ def test_batch_score_uses_the_given_scorer(frame):
 
     found = rows_of(score.batch_score(df, make, "id", "t"), "id", "pred")
     assert found == [(1, 0), (2, 1), (3, 0)]
+
+
+def test_term_weights_hold_every_term(spark, frame):
+    from corpuslab.operators import score
+    from corpuslab.staging import work_path
+
+    train = frame([(1, "aa bb bb", 0), (2, "cc", 1), (3, None, 1)], "id long, t string, y int")
+    path = work_path(spark, "weights")
+    score.term_weights(train, "t", "y").write.parquet(path)
+    weights = spark.read.parquet(path)
+    assert sorted(r["term"] for r in weights.collect()) == ["aa", "bb", "cc"]
+    texts = [(7, "bb unknown"), (8, "cc cc"), (9, None), (10, "")]
+    other = frame(texts, "id long, t string")
+    found = {r["id"]: (r["pred"], r["scores"]) for r in score.score_terms(other, weights, "id", "t").collect()}
+    assert [found[i][0] for i in (7, 8)] == [0, 1]
+    assert found[9][1] == found[10][1] == [0.0, 0.0]
+
+
+def test_views_do_not_deal_texts_anew(spark):
+    from corpuslab.plans import views
+
+    for view in (views.articles, views.labelled, views.debunk_texts, views.crawl_base):
+        frame = view(spark, "/root/testdata/sf0.001")
+        assert "RoundRobin" not in frame._jdf.queryExecution().executedPlan().toString()
