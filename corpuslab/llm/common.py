@@ -8,7 +8,8 @@ from array import array
 
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpuslab.staging import work_path
@@ -23,6 +24,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def row_key(doc_id: Column, content: Column) -> Column:
+    """One column for doc_id and a hash of the content, so that a join and the dropping of repeated
+    rows share one shuffle."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("none")), content.cast("string"))
+
+
 def tokenizer_path(name: str) -> str:
     """Path of an installed public tokenizer file."""
     import public_tokenizers

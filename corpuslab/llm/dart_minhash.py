@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import row_numbers_from, staged
+from corpuslab.llm.common import row_key, row_numbers_from, staged
 from corpuslab.llm.components import components
 from corpuslab.operators.joins import weighted_lookup
 
@@ -365,7 +365,6 @@ def drop_near(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     Rows that agree in doc_id and text are one row.
     """
     kept = near_classes(docs, least).filter("kept")
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text_key"))
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text_key"))
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
+    kept = kept.select(row_key(F.col("doc_id"), F.col("text_key")).alias("_key"))
+    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.xxhash64("text")))
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import row_numbers_from, staged
+from corpuslab.llm.common import row_key, row_numbers_from, staged
 
 BUDGET = 32 << 20
 
@@ -261,16 +261,11 @@ def drop_copies(docs: DataFrame) -> DataFrame:
 
     Rows that agree in doc_id and normalised text are one row.
     """
-    kept = (
-        exact_owners(docs)
-        .filter("kept")
-        .select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    )
-    keyed = docs.withColumn("_key", F.sha2(normalised(F.col("text")), 256))
-    found = keyed.join(
-        kept, (F.col("_key") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"
-    )
-    return found.dropDuplicates(["doc_id", "_key"]).drop("_key")
+    kept = exact_owners(docs).filter("kept")
+    kept = kept.select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("_key"))
+    content = F.sha2(normalised(F.col("text")), 256)
+    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), content))
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 ORACLE_SQL = r"""
