@@ -178,9 +178,10 @@ def test_large_group_is_split_at_shard_ends(spark):
     shards = defaultdict(Counter)
     for r in out:
         shards[rows[r["doc_id"]][1]][r["shard"]] += 1
-    # 300 rows fill three of eight shards of 100; linked rows outside their main shards are few.
+    # 300 rows are cut into four parts with a home each (shards hold 100, parts are up to 3/4 of a
+    # shard); a random deal would leave 150 of them in four shards.
     assert sum(sum(c.values()) - max(c.values()) for t, c in shards.items() if t != "same") <= 60
-    assert sum(n for _, n in shards["same"].most_common(3)) >= 200
+    assert sum(n for _, n in shards["same"].most_common(4)) >= 225
 
 
 def test_shards_odd_rows(spark):
