@@ -37,7 +37,49 @@ MAX_LENGTH = 512
 # Fixed values. Cut-off dates of the temporal splits, day-month-year.
 EVENTS = [("Covid-19", "01-10-2019"), ("Invasion of Ukraine", "24-02-2022")]
 
-# Fixed values. Keywords per topic (compared after lower-casing) and the name shown for each.
+# Fixed values. Keywords per held-out topic, compared after lower-casing.
+HOLDOUT_TOPICS = {
+    "covid-19": [
+        "biological weapons",
+        "chemical weapons/attack",
+        "conspiracy theory",
+        "coronavirus",
+        "laboratory",
+        "vaccination",
+        "virus/bacteria threat",
+    ],
+    "west": [
+        "eu/nato enlargement",
+        "europe",
+        "european union",
+        "international law",
+        "nato",
+        "us presence in europe",
+        "united nations",
+        "west",
+    ],
+    "russia": [
+        "alexei navalny",
+        "anti-russian",
+        "destabilising russia",
+        "diplomacy with russia",
+        "encircling russia",
+        "russian world",
+        "russophobia",
+        "ussr",
+    ],
+    "ukraine": [
+        "crimea",
+        "donbas",
+        "eastern ukraine",
+        "invasion of ukraine",
+        "ukrainian statehood",
+        "war crimes",
+        "war in ukraine",
+    ],
+}
+
+# Fixed values. Keywords per topic of the quarterly tables and the name shown for each.
 TOPICS = {
     "covid-19": {
         "biological weapons": "Biological weapons",

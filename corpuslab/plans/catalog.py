@@ -146,7 +146,15 @@ def collect_pending(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def collect_fetch(spark: SparkSession, folder: str) -> DataFrame:
+def collect_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """The address of the extraction request of every page."""
+    request = collect.request_url("https://service.example/article", F.col("article_url"), "key")
+    return views.crawl_base(spark, folder).select("article_id", request.alias("request"))
+
+
+def collect_fetch(
+    spark: SparkSession, folder: str, partitions: int | None = None
+) -> DataFrame:
     """Responses from a client that answers from the columns of the row, not from the network."""
 
     # Defined here, so that it is sent to the workers by value.
@@ -164,10 +172,15 @@ def collect_fetch(spark: SparkSession, folder: str) -> DataFrame:
     answers = stored.select(
         "article_id", F.col("status").alias("stored_status"), body.alias("stored_body")
     )
-    fetched = collect.fetch(pending.join(answers, "article_id"), make_client)
+    fetched = collect.fetch(pending.join(answers, "article_id"), make_client, partitions)
     return collect.parse_responses(fetched, "article_id")
 
 
+def collect_fetch_parallel(spark: SparkSession, folder: str) -> DataFrame:
+    """The same responses from twelve clients side by side."""
+    return collect_fetch(spark, folder, partitions=12)
+
+
 def archive_oldest(spark: SparkSession, folder: str) -> DataFrame:
     return collect.oldest_snapshots(
         views.snapshots(spark, folder), "article_url", "ts", "archive_url"
@@ -708,7 +721,7 @@ QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in [
         scan_csv_roundtrip, sink_csv, scan_jsonl_nested, scan_cache_permissive, sink_append,
-        collect_pending, collect_fetch, archive_oldest, collect_resolve, collect_status_counts,
+        collect_pending, collect_requests, collect_fetch, collect_fetch_parallel, archive_oldest, collect_resolve, collect_status_counts,
         collect_finalize, collect_incremental, fill_nulls, drop_nulls, combine_title_text,
         binarize_label, filter_isin, filter_min_words, map_codes, filter_class_quarter,
         balanced_languages, prepared_articles, prepared_nested_news, value_counts, distinct_counts,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslab.fixed_values import ALPHAS, EVENTS, FOLDS, TOPICS
+from corpuslab.fixed_values import ALPHAS, EVENTS, FOLDS, HOLDOUT_TOPICS, TOPICS
 from corpuslab.functions.dates import parse_day_first
 from corpuslab.operators import aggregate, collect, topk
 from corpuslab.operators.evaluate import in_given_order
@@ -110,9 +110,9 @@ def run_cross_topics(
     result_path: str,
     topics: dict[str, list[str]] | None = None,
 ) -> None:
-    chosen = topics or {topic: list(words) for topic, words in TOPICS.items()}
+    """Leave-one-topic-out table; ``topics`` defaults to the hold-out lists."""
     rows = read_experiment(spark, train_path)
-    write_csv(experiments.cross_topics(rows, chosen, "article_id"), result_path)
+    write_csv(experiments.cross_topics(rows, topics or HOLDOUT_TOPICS, "article_id"), result_path)
 
 
 def run_temporal_splits(

@@ -351,6 +351,8 @@ ORACLE: dict[str, str] = {
     ),
     "sink_append": sql("SELECT * FROM cache_log", "cache_log"),
     "collect_pending": "SELECT page_id AS article_id, url AS article_url FROM pages WHERE page_id % 4 <> 0",
+    "collect_requests": """SELECT page_id AS article_id, concat('https://service.example/article?token=key&url=',
+        replace(replace(replace(url_encode(url), '%20', '+'), '%2A', '*'), '~', '%7E'), '&timeout=60000') AS request FROM pages""",
     "collect_fetch": """SELECT page_id AS article_id, CASE WHEN page_id % 10 = 0 THEN 404 ELSE 200 END AS status,
         CASE WHEN page_id % 10 = 1 THEN 'fetch error' END AS error,
         CASE WHEN page_id % 10 IN (2, 3) THEN '' WHEN page_id % 10 <> 1 THEN html END AS text,
@@ -760,3 +762,4 @@ ORACLE: dict[str, str] = {
     ),
 }
 ORACLE["language_distribution"] = ORACLE["sink_csv"]
+ORACLE["collect_fetch_parallel"] = ORACLE["collect_fetch"]
