@@ -110,6 +110,26 @@ def test_disclosing_words(spark):
     assert cleaned[100] == "first ask   at [EMAIL], first please" and cleaned[5] == filler[5]
 
 
+def test_every_kind_alone_is_masked(spark):
+    """Texts that hold one identifier meet the edits; near misses and texts without any stay."""
+    texts = {
+        1: ("to a@b.org", "to [EMAIL]"),
+        2: ("at 10.0.0.1", "at [IP]"),
+        3: ("no 4242-4242-4242-4242", "no [CARD]"),
+        4: ("call +49 (30) 123456", "call [PHONE]"),
+        5: ("no 4242-4242-4242-4243", "no 4242-4242-4242-4243"),
+        6: ("plain words", "plain words"),
+        7: ("", ""),
+        8: (None, None),
+    }
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, (t, _) in texts.items()], SCHEMA)
+    out = disclosure.sanitise(docs)
+    assert out.schema.names == docs.schema.names
+    rows = out.collect()
+    assert {r["doc_id"]: r["text"] for r in rows} == {i: clean for i, (_, clean) in texts.items()}
+    assert len(rows) == len(texts) and all(r["n_chars"] == len(r["text"] or "") for r in rows)
+
+
 def test_masks_cover_overlaps(spark):
     text = "x +1 4111111111111111 y é 10.0.0.1z@q.rs end"
     out = disclosure.sanitise(spark.createDataFrame([(1, text, "en", "a", len(text))], SCHEMA)).first()
