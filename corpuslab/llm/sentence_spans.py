@@ -1,8 +1,8 @@
 """Substring deduplication by sliding spans of sentences.
 
 A text is cut into sentences at end marks and line ends. From every sentence a span runs over
-several sentences, until it is long enough to be no accident. The spans are hashed and grouped over
-the corpus; the document with the smallest doc_id owns a repeated span. Sentences under a span that
+several sentences, until it is long enough to be no accident, and another runs back from it. The
+spans are hashed and grouped over the corpus; the document with the smallest doc_id owns a repeated span. Sentences under a span that
 another document owns, or that the same document had before, are removed.
 """
 
@@ -42,16 +42,21 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def spans(words: list[int]) -> list[tuple[int, int]]:
-    """First and last sentence of the shortest long-enough span from each sentence."""
-    out = []
-    for first in range(len(words)):
-        total = 0
-        for last in range(first, len(words)):
-            total += words[last]
-            if any(last - first + 1 >= s and total >= w for s, w in LONG_ENOUGH):
-                out.append((first, last))
-                break
-    return out
+    """First and last sentence of the shortest long-enough spans from and up to each sentence.
+
+    Every sentence of a long-enough run lies under a span within the run: it is in the shortest span
+    from the run's start, or what comes before it in the run is long enough for a span that ends there.
+    """
+    out = set()
+    for at in range(len(words)):
+        for step, stop in ((1, len(words)), (-1, -1)):
+            total = 0
+            for other in range(at, stop, step):
+                total += words[other]
+                if any(abs(other - at) + 1 >= s and total >= w for s, w in LONG_ENOUGH):
+                    out.add((min(at, other), max(at, other)))
+                    break
+    return sorted(out)
 
 
 def hashed_spans(text: str) -> tuple[int, list[tuple[int, int, bytes]]]:
