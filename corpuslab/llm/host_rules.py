@@ -35,17 +35,24 @@ def _covered(places: Column) -> Column:
     )
 
 
-def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """doc_id, host and the counts of each document; a null text counts as empty."""
+def measures(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", also: tuple[str, ...] = ()
+) -> DataFrame:
+    """doc_id, host and the counts of each document, and columns that are ``also`` carried along.
+
+    A null text counts as empty.
+    """
     body = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
         F.col(text).alias("text"),
+        *also,
     )
     split = base.select(
         "doc_id",
         "host",
+        *also,
         F.array_remove(F.split(body, SPACE, -1), "").alias("words"),
         F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         (F.size(F.split(body, r"[#*$%&|<>]", -1)) - 1).cast("long").alias("n_symbols"),
@@ -53,6 +60,7 @@ def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host:
     shifted = split.select(
         "doc_id",
         "host",
+        *also,
         "n_symbols",
         "words",
         F.size("words").cast("long").alias("n_words"),
@@ -63,6 +71,7 @@ def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host:
     windows = shifted.select(
         "doc_id",
         "host",
+        *also,
         "n_words",
         "word_chars",
         "n_symbols",
@@ -131,15 +140,16 @@ def host_verdicts(failures: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
 
 
 def judge(
-    docs: DataFrame, max_rate: float = MAX_RATE, doc_id: str = "doc_id", text: str = "text", host: str = "source"
-) -> DataFrame:
-    """One row per document: its measures, base_failed and kept.
+    docs: DataFrame, max_rate: float = MAX_RATE, doc_id: str = "doc_id", text: str = "text", host: str = "source",
+    also: tuple[str, ...] = (),
+) -> DataFrame:
+    """One row per document: its measures, base_failed and kept, and the columns ``also`` asked for.
 
     Null and empty texts have no words and fail; a missing host is the host ''. Repeated and missing
     doc_ids are rows of their own, an empty table gives no rows. Hosts with many documents meet a
     broadcast of fewer than 1000 verdicts, so no task gets all documents of a host.
     """
-    failures = staged(rule_failures(measures(docs, doc_id, text, host)), "measures")
+    failures = staged(rule_failures(measures(docs, doc_id, text, host, also)), "measures")
     verdicts = staged(
         host_verdicts(failures, max_rate).select("host", "n_docs", "rejected"), "verdicts"
     )
@@ -151,11 +161,16 @@ def judge(
 def keep_good(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns.
 
-    A repeated doc_id stays if all of its rows are kept.
+    Repeated and missing doc_ids are rows of their own here too: a verdict goes to the rows that
+    agree in doc_id, text and host, which are judged alike.
     """
-    gone = judge(docs, max_rate).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    gone = staged(gone.distinct(), "rejected")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    # Two numbers, so that the rejected rows stay small; null texts and hosts are judged as empty.
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "source")]
+    keyed = docs.withColumn("_key", F.xxhash64(*parts))
+    gone = judge(keyed, max_rate, also=("_key",)).filter(~F.col("kept"))
+    gone = staged(gone.select(F.col("doc_id").alias("_gone"), F.col("_key").alias("_gone_key")).distinct(), "rejected")
+    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_key") == F.col("_gone_key"))
+    return keyed.join(gone, same, "left_anti").drop("_key")
 
 
 ORACLE_SQL = r"""
