@@ -8,9 +8,12 @@ from corpuslab.llm import (
     dart_minhash,
     disclosure,
     host_rules,
+    infilling,
     label_shards,
     licenses,
+    manifest,
     packing,
+    partial_matching,
     prefix_bpe,
     sentence_spans,
     token_files,
@@ -62,6 +65,21 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_classes(documents(spark, sf_dir)).drop("text_key")
 
 
+def op11_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of those that are not held out."""
+    return partial_matching.score_texts(documents(spark, sf_dir), partial_matching.held_out_ids())
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents, half of them checked against a tampered row."""
+    return manifest.verify_manifest(documents(spark, sf_dir))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples of all documents, and the texts restored from them, as digests."""
+    return infilling.infill_digest(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_license_scan": op2_license_scan,
@@ -73,9 +91,14 @@ QUERIES = {
     "op8_label_shards": op8_label_shards,
     "op9_trie_dedup": op9_trie_dedup,
     "op10_dart_minhash": op10_dart_minhash,
+    "op11_partial_matching": op11_partial_matching,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE = {
     "op6_host_rules": host_rules.ORACLE_SQL,
     "op9_trie_dedup": trie_dedup.ORACLE_SQL,
+    "op12_merkle_manifest": manifest.ORACLE_SQL,
+    "op13_fill_in_middle": infilling.ORACLE_SQL,
 }
