@@ -30,6 +30,11 @@ def row_key(doc_id: Column, content: Column) -> Column:
     return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("none")), content.cast("string"))
 
 
+def whole_row(docs: DataFrame, name: str = "_row") -> Column:
+    """All columns in one struct, so that none can clash with a column that is worked with."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name)
+
+
 def tokenizer_path(name: str) -> str:
     """Path of an installed public tokenizer file."""
     import public_tokenizers

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import row_key, row_numbers_from, staged
+from corpuslab.llm.common import row_key, row_numbers_from, staged, whole_row
 from corpuslab.llm.components import components
 from corpuslab.operators.joins import weighted_lookup
 
@@ -360,11 +360,13 @@ def near_classes(
 
 
 def drop_near(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One row of each class of near-duplicates, with all columns of ``docs``.
+    """One row of each class of near-duplicates, with all columns of ``docs``, whatever their names.
 
-    Rows that agree in doc_id and text are one row.
+    Rows that agree in doc_id and text are one row; a missing doc_id is a doc_id of its own; null
+    and empty texts and texts without a run of words are as in ``near_classes``; very long texts are
+    compared whole; an empty table gives no rows.
     """
     kept = near_classes(docs, least).filter("kept")
     kept = kept.select(row_key(F.col("doc_id"), F.col("text_key")).alias("_key"))
-    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.xxhash64("text")))
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    keyed = docs.select(row_key(F.col("doc_id"), F.xxhash64("text")).alias("_key"), whole_row(docs))
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")

@@ -2,9 +2,10 @@
 
 Every document is measured inside its row: words, symbols, repeated lines and words in repeated
 three-word windows. Failures are summed by host. A host's failure rate is shrunk towards the others
-by a beta prior whose two parameters are fitted to the rates of all hosts by their mean and variance
-(so a small host needs more evidence), and hosts above a rate are rejected. The verdict goes back
-to the documents: of a rejected host, those that fail any rule themselves go; of other hosts, those
+by a beta prior, fitted to the counts of all hosts by beta-binomial moments: what the rates differ
+by beyond the chance of few documents. A host is rejected when its odds of failure exceed a
+multiple of the mean with high posterior probability, so a small host needs more evidence. The verdict goes back to
+the documents: of a rejected host, those that fail any rule themselves go; of other hosts, those
 that fail the base rules.
 """
 
@@ -13,13 +14,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import staged
+from corpuslab.llm.common import staged, whole_row
 from corpuslab.operators.joins import weighted_lookup
 
 SPACE = r"[\x20\x09-\x0D]+"
-MAX_RATE = 0.5
-# Documents that the prior counts for when all hosts have one rate and its strength is open.
+# A host is bad if its odds of failure are above this multiple of those of all documents.
+TIMES_ODDS = 3.0
+# One-sided 95 % of the normal distribution, which stands for that of a host's rate.
+CERTAINTY = 1.645
+# Documents that the prior counts for when the counts do not tell, as with one document per host.
 OPEN_STRENGTH = 100.0
+# Bounds of the share of the variance that lies between hosts.
+LEAST_SHARE, MOST_SHARE = 1e-6, 0.999
 
 
 def _covered(places: Column) -> Column:
@@ -42,7 +48,7 @@ def measures(
 
     A null text counts as empty.
     """
-    body = F.coalesce(F.col("text"), F.lit(""))
+    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
@@ -118,11 +124,32 @@ def rule_failures(measured: DataFrame) -> DataFrame:
     return measured.withColumn("base_failed", base).withColumn("failed", base | other)
 
 
-def host_verdicts(failures: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
+def fitted_prior(hosts: DataFrame) -> tuple[float, float]:
+    """Mean and strength (its weight in documents) of the beta prior of (n_docs, n_failed).
+
+    With N documents of h hosts and mean m, the sum of n_i (p_i - m)^2 is expected to be
+    m (1 - m) ((h - 1) + share (N - sum n_i^2 / N - (h - 1))), the share being 1 / (strength + 1).
+    """
+    n, k = F.col("n_docs").cast("double"), F.col("n_failed").cast("double")
+    sums = hosts.agg(
+        F.count("*").alias("h"), F.sum(n).alias("n"), F.sum(k).alias("k"), F.sum(n * n).alias("nn"), F.sum(k * k / n).alias("s")
+    ).first()
+    if not sums["h"]:
+        return 0.0, OPEN_STRENGTH
+    mean = sums["k"] / sums["n"]
+    chance = mean * (1 - mean)
+    room = sums["n"] - sums["nn"] / sums["n"] - (sums["h"] - 1)
+    if chance <= 0 or room <= 1e-9:
+        return mean, OPEN_STRENGTH
+    share = ((sums["s"] - sums["n"] * mean * mean) / chance - (sums["h"] - 1)) / room
+    return mean, 1 / min(max(share, LEAST_SHARE), MOST_SHARE) - 1
+
+
+def host_verdicts(failures: DataFrame, times_odds: float = TIMES_ODDS, certainty: float = CERTAINTY) -> DataFrame:
     """host, n_docs, n_failed, rate (shrunk) and rejected, one row per host.
 
-    The prior is fitted to the raw rates by their mean m and sample variance v: its strength is
-    m (1 - m) / v - 1. It is one row, so it comes to the driver.
+    A host is rejected if ``certainty`` standard deviations below its rate the odds are still above
+    ``times_odds`` times those of the mean. The prior is one row, so it comes to the driver.
     """
     hosts = staged(
         failures.groupBy("host").agg(
@@ -130,47 +157,50 @@ def host_verdicts(failures: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
         ),
         "hosts",
     )
-    raw = F.col("n_failed") / F.col("n_docs")
-    fitted = hosts.agg(F.avg(raw).alias("m"), F.var_samp(raw).alias("v")).first()
-    mean, variance = fitted["m"] or 0.0, fitted["v"] or 0.0
-    strength = mean * (1 - mean) / variance - 1 if variance > 1e-12 else OPEN_STRENGTH
-    strength = max(strength, 0.0)
-    rate = (F.col("n_failed") + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(strength))
-    return hosts.withColumn("rate", rate).withColumn("rejected", rate > max_rate)
+    mean, strength = fitted_prior(hosts)
+    weight = F.col("n_docs") + F.lit(strength)
+    rate = (F.col("n_failed") + F.lit(mean * strength)) / weight
+    deviation = F.sqrt(rate * (1 - rate) / (weight + 1))
+    rejected = rate - F.lit(certainty) * deviation > F.lit(times_odds * mean / (1 + (times_odds - 1) * mean))
+    return hosts.withColumn("rate", rate).withColumn("rejected", rejected)
 
 
 def judge(
-    docs: DataFrame, max_rate: float = MAX_RATE, doc_id: str = "doc_id", text: str = "text", host: str = "source",
-    also: tuple[str, ...] = (),
-) -> DataFrame:
-    """One row per document: its measures, base_failed and kept, and the columns ``also`` asked for.
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source"
+) -> DataFrame:
+    """One row per document: its measures, base_failed and kept.
 
     Null and empty texts have no words and fail; a missing host is the host ''. Repeated and missing
-    doc_ids are rows of their own, an empty table gives no rows. Hosts with many documents meet a
-    broadcast of fewer than 1000 verdicts, so no task gets all documents of a host.
+    doc_ids are rows of their own, an empty table gives no rows, very long texts are measured whole,
+    other columns are left out, whatever their names. Hosts with many documents meet a broadcast of
+    fewer than 1000 verdicts, so no task gets all documents of a host.
     """
-    failures = staged(rule_failures(measures(docs, doc_id, text, host, also)), "measures")
-    verdicts = staged(
-        host_verdicts(failures, max_rate).select("host", "n_docs", "rejected"), "verdicts"
-    )
+    failures = staged(rule_failures(measures(docs, doc_id, text, host)), "measures")
+    verdicts = staged(host_verdicts(failures).select("host", "n_docs", "rejected"), "verdicts")
     judged = weighted_lookup(failures, verdicts, "host", "n_docs")
     kept = ~F.col("base_failed") & ~(F.col("rejected") & F.col("failed"))
     return judged.withColumn("kept", kept).drop("rejected", "failed")
 
 
-def keep_good(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all their columns.
+def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns, whatever their names.
 
-    Repeated and missing doc_ids are rows of their own here too: a verdict goes to the rows that
-    agree in doc_id, text and host, which are judged alike.
+    Every row is judged on its own, as in ``judge``: repeated and missing doc_ids, null and very
+    long texts, missing hosts, empty tables. A row is carried as one struct beside its measures and
+    written once, without those that fail the base rules. Rows that fail no rule are kept as they
+    are read back; only the others that remain meet the verdict on their host.
     """
-    # Two numbers, so that the rejected rows stay small; null texts and hosts are judged as empty.
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "source")]
-    keyed = docs.withColumn("_key", F.xxhash64(*parts))
-    gone = judge(keyed, max_rate, also=("_key",)).filter(~F.col("kept"))
-    gone = staged(gone.select(F.col("doc_id").alias("_gone"), F.col("_key").alias("_gone_key")).distinct(), "rejected")
-    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_key") == F.col("_gone_key"))
-    return keyed.join(gone, same, "left_anti").drop("_key")
+    carried = docs.select(
+        F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(host).alias("source"), whole_row(docs, "row")
+    )
+    measured = rule_failures(measures(carried, also=("row",)))
+    row = F.when(~F.col("base_failed"), F.col("row")).alias("row")
+    judged = staged(measured.select("host", "base_failed", "failed", row), "judged")
+    verdicts = staged(host_verdicts(judged).select("host", "n_docs", "rejected"), "verdicts")
+    good = judged.filter(~F.col("failed")).select("row")
+    asked = judged.filter(F.col("failed") & ~F.col("base_failed"))
+    spared = weighted_lookup(asked, verdicts, "host", "n_docs").filter(~F.col("rejected")).select("row")
+    return good.unionByName(spared).select("row.*")
 
 
 ORACLE_SQL = r"""
@@ -207,11 +237,19 @@ WITH d AS (
   FROM b
 ), h AS (
   SELECT host, count(*) AS n, sum(CAST(failed AS INT)) AS k FROM f GROUP BY host
+), sums AS (
+  SELECT count(*) AS h, CAST(sum(n) AS DOUBLE) AS n, sum(k) / sum(n) AS m, sum(CAST(n AS DOUBLE) * n) AS nn,
+         sum(CAST(k AS DOUBLE) * k / n) AS s
+  FROM h
 ), prior AS (
-  SELECT m, CASE WHEN coalesce(v, 0) > 1e-12 THEN greatest(m * (1 - m) / v - 1, 0) ELSE 100 END AS s
-  FROM (SELECT avg(k / n) AS m, var_samp(k / n) AS v FROM h)
+  SELECT m, CASE WHEN m * (1 - m) <= 0 OR n - nn / n - (h - 1) <= 1e-9 THEN 100
+            ELSE 1 / least(greatest(((s - n * m * m) / (m * (1 - m)) - (h - 1)) / (n - nn / n - (h - 1)), 1e-6), 0.999) - 1
+            END AS s
+  FROM sums
+), rates AS (
+  SELECT host, m, n + s AS weight, (k + m * s) / (n + s) AS rate FROM h, prior
 ), verdict AS (
-  SELECT host, (k + m * s) / (n + s) > 0.5 AS rejected FROM h, prior
+  SELECT host, rate - 1.645 * sqrt(rate * (1 - rate) / (weight + 1)) > 3 * m / (1 + 2 * m) AS rejected FROM rates
 )
 SELECT doc_id, host, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words,
        base_failed, NOT base_failed AND NOT (rejected AND failed) AS kept

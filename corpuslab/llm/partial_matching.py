@@ -22,6 +22,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ SYMBOLS = 255
 # Contexts of up to this many bytes are broadcast.
 LOW = 2
 # Windows that are sorted or looked up at once.
-TOGETHER = 4 << 20
+TOGETHER = 2 << 20
 BLOCK_SQL = "block long, place int, gram long, word binary, n long, texts binary"
 TEXTS = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.large_binary())])
 
@@ -290,13 +291,14 @@ def _sums(order: int, total: int, kinds: int, ends: int):
             rows = pa.ipc.open_stream(blob).read_all().to_pydict()
             texts = rows["text"]
             grams, _ = block_grams(texts, order)
+            known_grams = pd.Index(grams)
             values = answers[: len(grams)]
             counts = answers[len(grams) :]
             word_logs = np.where(counts > 0, np.log10(counts + 0.5) - mass, unseen)
             logs = dict(zip(sorted({w for t in texts for w in t.split()}), word_logs.tolist()))
             scores = np.zeros(len(texts))
             for first, packed, bounds in windows(texts, order):
-                each = values[np.searchsorted(grams, packed)]
+                each = values[known_grams.get_indexer(packed)]
                 scores[first : first + len(bounds) - 1] = np.add.reduceat(each, bounds[:-1])
             base, known, sizes = [], [], []
             for text in texts:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import row_key, row_numbers_from, staged
+from corpuslab.llm.common import row_key, row_numbers_from, staged, whole_row
 
 BUDGET = 32 << 20
 
@@ -257,15 +257,17 @@ def exact_owners(
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``exact_owners`` keeps, with all their columns.
+    """The rows of ``docs`` that ``exact_owners`` keeps, with all their columns, whatever their names.
 
-    Rows that agree in doc_id and normalised text are one row.
+    Rows that agree in doc_id and normalised text are one row; null and empty texts are equal; a
+    missing doc_id is a doc_id of its own; very long texts are compared whole; an empty table gives
+    no rows.
     """
     kept = exact_owners(docs).filter("kept")
     kept = kept.select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("_key"))
     content = F.sha2(normalised(F.col("text")), 256)
-    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), content))
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    keyed = docs.select(row_key(F.col("doc_id"), content).alias("_key"), whole_row(docs))
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
 
 
 ORACLE_SQL = r"""
