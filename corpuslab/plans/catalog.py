@@ -17,6 +17,7 @@ from corpuslab.operators import (
     collect,
     evaluate,
     joins,
+    models,
     naive_bayes,
     ngrams,
     prepare,
@@ -604,9 +605,54 @@ def kfold_nb(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def linear_svm(spark: SparkSession, folder: str) -> DataFrame:
+    """Margins and classes of the test texts at one cost."""
     rows = _split_articles(spark, folder)
-    train, test = rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "test")
-    return svm.train_and_predict(train, test, "article_id", "text", "label", "language", [0.1])
+    model = naive_bayes.Model("split", F.col("split") == "train", F.col("split") == "test")
+    found = svm.train_and_predict(rows, [model], "article_id", "text", "label", "language", [0.1])
+    return _rounded(found, "margin", digits=3)
+
+
+def grid_search_svm(spark: SparkSession, folder: str) -> DataFrame:
+    """Score of every cost and whether it is the chosen one; all costs are fitted at once."""
+    rows = _split_articles(spark, folder)
+    scores = stage(svm.grid_search(rows, "article_id", "text", "label", "language"), "search")
+    best = naive_bayes.best_parameters(scores).select("cost", F.lit(1).alias("chosen"))
+    marked = scores.join(F.broadcast(best), "cost", "left").na.fill(0, subset=["chosen"])
+    return _rounded(marked.select("cost", "score", "chosen"), "score")
+
+
+def kfold_svm(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean and deviation over ten folds of macro-F1 per language; all folds are fitted at once."""
+    rows = _split_articles(spark, folder).filter(F.col("split") == "train")
+    predictions = experiments.cross_validate_svm(rows, "article_id", "text", "label", "language", 0.1)
+    scores = evaluate.with_average_row(evaluate.fold_scores(predictions))
+    return _rounded(evaluate.fold_mean_std(scores), "f1_mean", "f1_std")
+
+
+def _applied(spark: SparkSession, rows: DataFrame, model: models.TextModel) -> DataFrame:
+    """Predictions of the test rows by the model as written and read back."""
+    path = work_path(spark, "model")
+    models.save_model(model, path)
+    test = rows.filter(F.col("split") == "test")
+    scored = models.apply_model(models.load_model(spark, path), test, "article_id", "text")
+    return scored.join(test.select("article_id", "label", "language"), "article_id")
+
+
+def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Naive Bayes fitted on the train part, stored, and applied to the test part."""
+    rows = _split_articles(spark, folder)
+    fitted = models.fit_naive_bayes(rows.filter(F.col("split") == "train"), "text", "label", 0.1)
+    found = _applied(spark, rows, fitted).select("*", F.lit("split").alias("model"), F.lit(0.1).alias("alpha"))
+    return _predicted(found)
+
+
+def svm_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """The linear SVM fitted on the train part, stored, and applied to the test part."""
+    rows = _split_articles(spark, folder)
+    train = rows.filter(F.col("split") == "train")
+    found = _applied(spark, rows, models.fit_linear_svm(train, "article_id", "text", "label", 0.1))
+    margin = F.round(F.col("scores")[1], 3).alias("margin")
+    return found.select("article_id", "label", "language", margin, "pred")
 
 
 def batch_score(spark: SparkSession, folder: str) -> DataFrame:
@@ -731,7 +777,8 @@ QUERIES: dict[str, Query] = {
         topk_lang_keyword, top3_keywords_by_language, scalar_text, scalar_dates, tokenize,
         argmax_pred, stratified_split, random_split, stratified_kfold, temporal_split, topic_map,
         topic_holdout, sentences, ngram_counts, cue_url_filter, bow_counts, encode_fixed,
-        grid_search_nb, best_parameters, kfold_nb, linear_svm, batch_score, cross_dataset_grid,
+        grid_search_nb, best_parameters, kfold_nb, linear_svm, grid_search_svm, kfold_svm, model_roundtrip,
+        svm_roundtrip, batch_score, cross_dataset_grid,
         relative_drop, cross_topic_report, temporal_report, confusion_counts, f1_overall,
         f1_by_language, f1_language_avg, group_support, precision_recall, fold_mean_std,
         experiment_report, metric_log, cv_report,

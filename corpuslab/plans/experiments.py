@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.fixed_values import ALPHAS, EVENTS, FOLDS, LANGUAGE_NAMES, MIN_WORDS, SEED
+from corpuslab.fixed_values import ALPHAS, COSTS, EVENTS, FOLDS, LANGUAGE_NAMES, MIN_WORDS, SEED
 from corpuslab.functions.dates import parse_day_first
+from corpuslab.operators import svm
 from corpuslab.operators.evaluate import (
     experiment_report,
     fold_mean_std,
@@ -106,6 +107,23 @@ def cross_validate(
     return rows.withColumn("fold", F.col("model").cast("int"))
 
 
+def cross_validate_svm(
+    df: DataFrame,
+    row_id: str,
+    text: str,
+    label: str,
+    language: str,
+    cost: float,
+    k: int = FOLDS,
+    strata: list[str] | None = None,
+    seed: int = SEED,
+) -> DataFrame:
+    """SVM predictions of every row by a model that has not seen its fold; one fit for all folds."""
+    folds = stratified_folds(df, row_id, strata or [language], k, seed)
+    rows = svm.train_and_predict(folds, fold_models(k), row_id, text, label, language, [cost])
+    return rows.withColumn("fold", F.col("model").cast("int"))
+
+
 def main_experiment(
     df: DataFrame,
     row_id: str,
@@ -114,16 +132,27 @@ def main_experiment(
     language: str = "language",
     alphas: list[float] = ALPHAS,
     k: int = FOLDS,
+    classifier: str = "naive_bayes",
+    costs: list[float] = COSTS,
 ) -> tuple[DataFrame, DataFrame]:
-    """(result table, best parameters): search on train/test, then k folds of the train part."""
-    best = stage(
-        best_parameters(grid_search(df, row_id, text, label, language, "split", alphas)), "best"
-    )
+    """(result table, best parameters): search on train/test, then k folds of the train part.
+
+    ``classifier`` is ``naive_bayes`` with a search over ``alphas``, or ``linear_svm`` over ``costs``.
+    """
+    bayes = classifier == "naive_bayes"
+    if not bayes and classifier != "linear_svm":
+        raise ValueError(f"no classifier {classifier}")
+    if bayes:
+        searched = grid_search(df, row_id, text, label, language, "split", alphas)
+    else:
+        searched = svm.grid_search(df, row_id, text, label, language, "split", costs)
+    best = stage(best_parameters(searched), "best")
     found = best.first()
     if found is None:
         raise ValueError("no parameter scored above 0")
     train = df.filter(F.col("split") == "train")
-    predictions = cross_validate(train, row_id, text, label, language, found["alpha"], k)
+    validate = cross_validate if bayes else cross_validate_svm
+    predictions = validate(train, row_id, text, label, language, found["alpha" if bayes else "cost"], k)
     scores = fold_scores(predictions, "fold", "language")
     return fold_mean_std(with_average_row(scores)), best
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslab.fixed_values import ALPHAS, EVENTS, FOLDS, HOLDOUT_TOPICS, TOPICS
+from corpuslab.fixed_values import ALPHAS, COSTS, EVENTS, FOLDS, HOLDOUT_TOPICS, TOPICS
 from corpuslab.functions.dates import parse_day_first
 from corpuslab.operators import aggregate, collect, topk
 from corpuslab.operators.evaluate import in_given_order
@@ -19,6 +19,7 @@ from corpuslab.sources.writers import append_json_lines, write_best_parameters,
 from corpuslab.staging import stage
 
 CLASSES = ["disinformation", "support"]
+CLASSIFIERS = ("naive_bayes", "linear_svm")
 
 
 def collect_articles(
@@ -89,19 +90,33 @@ def run_main_experiment(
     alphas: list[float] = ALPHAS,
     k: int = FOLDS,
     languages: list[str] | None = None,
+    classifier: str = "naive_bayes",
+    costs: list[float] = COSTS,
 ) -> None:
     """Search on the dev part, validate on folds of the train part, write table and parameters.
 
     ``languages`` selects and orders the rows of the table, which ends with their average.
+    ``classifier`` and its grid are as in ``experiments.main_experiment``.
     """
     train = read_experiment(spark, train_path).withColumn("split", F.lit("train"))
     dev = read_experiment(spark, dev_path).withColumn("split", F.lit("test"))
     rows = stage(train.unionByName(dev), "experiment")
-    table, best = experiments.main_experiment(rows, "article_id", alphas=alphas, k=k)
+    table, best = experiments.main_experiment(
+        rows, "article_id", alphas=alphas, k=k, classifier=classifier, costs=costs
+    )
     if languages:
         table = in_given_order(table, [*languages, "Average"], "language", "f1_mean").drop("position")
     write_csv(table, result_path)
-    write_best_parameters(best.select("alpha"), parameter_path)
+    write_best_parameters(best.drop("position", "score"), parameter_path)
+
+
+def run_classifiers(
+    spark: SparkSession, train_path: str, dev_path: str, folder: str, classifiers: tuple[str, ...] = CLASSIFIERS, **options
+) -> None:
+    """The main experiment of every classifier: ``results_<name>`` and ``params_<name>`` in a folder."""
+    for name in classifiers:
+        paths = f"{folder}/results_{name}", f"{folder}/params_{name}"
+        run_main_experiment(spark, train_path, dev_path, *paths, classifier=name, **options)
 
 
 def run_cross_topics(

@@ -53,7 +53,8 @@ def sql(body: str, *views: str, **more: str) -> str:
         names += [v for v in [*NEEDS.get(view, []), view] if v not in names]
     parts = [f"{n} AS ({VIEWS[n].strip()})" for n in names]
     parts += [f"{n} AS ({q.strip()})" for n, q in more.items()]
-    head = "WITH " + ",\n".join(parts) + "\n" if parts else ""
+    first = "WITH RECURSIVE " if "svm_steps" in more else "WITH "
+    head = first + ",\n".join(parts) + "\n" if parts else ""
     return head + body.strip()
 
 
@@ -146,6 +147,64 @@ def naive_bayes(train: str, test: str, alphas: list[float]) -> dict[str, str]:
     }
 
 
+def linear_svm(train: str, test: str, costs: list[float]) -> dict[str, str]:
+    """CTEs that end in ``svm``; the parts are as for ``naive_bayes``.
+
+    All training documents are one block. ``svm_steps`` has a row per step: the lists of dual
+    variables and margins, changed at the place that gains most.
+    """
+    values = ", ".join(f"(CAST({c} AS DOUBLE))" for c in costs)
+
+    def words(keys: str, source: str) -> str:
+        return f"""SELECT {keys}, term, count(*) AS tf FROM
+            (SELECT {keys}, unnest({WORDS.format('text')}) AS term FROM {source}) GROUP BY ALL"""
+
+    def zipped(lists: str, body: str) -> str:
+        return f"list_transform(list_zip({lists}), lambda p: {body})"
+
+    return {
+        "svm_train": train,
+        "svm_test": test,
+        "svm_docs": """SELECT model, id, CASE WHEN label = 1 THEN CAST(1 AS DOUBLE) ELSE -1 END AS y,
+            row_number() OVER (PARTITION BY model ORDER BY id) AS i FROM svm_train""",
+        "svm_texts": "SELECT DISTINCT id, text FROM svm_train",
+        "svm_tf": words("id", "svm_texts"),
+        "svm_pairs": """SELECT a.id AS a, b.id AS b, sum(a.tf * b.tf) AS k FROM svm_tf a JOIN svm_tf b ON b.term = a.term
+            GROUP BY 1, 2""",
+        "svm_rows": """SELECT x.model, x.i, list(CAST(coalesce(p.k, 0) + 1 AS DOUBLE) ORDER BY z.i) AS row_
+            FROM svm_docs x JOIN svm_docs z ON z.model = x.model LEFT JOIN svm_pairs p ON p.a = x.id AND p.b = z.id
+            GROUP BY 1, 2""",
+        "svm_fixed": f"""SELECT d.model, c.cost, count(*) AS n, list(d.y ORDER BY d.i) AS y, list(r.row_[d.i] ORDER BY d.i) AS own
+            FROM svm_docs d JOIN svm_rows r ON r.model = d.model AND r.i = d.i, (VALUES {values}) AS c(cost) GROUP BY 1, 2""",
+        "svm_steps": f"""SELECT model, cost, 0 AS step, list_transform(y, lambda x: CAST(0 AS DOUBLE)) AS dual,
+              list_transform(y, lambda x: CAST(0 AS DOUBLE)) AS f FROM svm_fixed
+            UNION ALL
+            SELECT g.model, g.cost, g.step + 1,
+              list_transform(g.dual, lambda v, k: CASE WHEN k = g.j THEN v + g.change[g.j] ELSE v END),
+              {zipped('g.f, r.row_', 'p[1] + p[2] * (g.change[g.j] * g.y[g.j])')}
+            FROM (SELECT *, list_position(gain, list_max(gain)) AS j FROM
+              (SELECT *, {zipped('change, gap_left, own', 'p[1] * (p[2] - p[1] * p[3] / 2)')} AS gain FROM
+              (SELECT *, {zipped('dual, gap_left, own', 'least(greatest(p[1] + p[2] / p[3], 0), cost) - p[1]')} AS change FROM
+              (SELECT s.*, c.n, c.y, c.own, {zipped('c.y, s.f', '1 - p[1] * p[2]')} AS gap_left
+               FROM svm_steps s JOIN svm_fixed c ON c.model = s.model AND c.cost = s.cost)))
+              WHERE step % n <> 0 OR list_sum({zipped('dual, gap_left', 'cost * greatest(0, p[2]) - p[1] * p[2]')})
+                > 0.001 * list_sum(dual) / 2) g
+            JOIN svm_rows r ON r.model = g.model AND r.i = g.j WHERE list_max(g.gain) > 0""",
+        "svm_ends": "SELECT model, cost, arg_max(dual, step) AS dual FROM svm_steps GROUP BY 1, 2",
+        "svm_duals": """SELECT e.model, e.cost, d.id, d.y * e.dual[d.i] AS a FROM svm_ends e JOIN svm_docs d ON d.model = e.model""",
+        "svm_weights": """SELECT d.model, d.cost, t.term, sum(d.a * t.tf) AS w FROM svm_duals d JOIN svm_tf t ON t.id = d.id
+            WHERE d.a <> 0 GROUP BY 1, 2, 3""",
+        "svm_offset": "SELECT model, cost, sum(a) AS b FROM svm_duals GROUP BY 1, 2",
+        "svm_test_tf": words("model, id", "svm_test"),
+        "svm_sums": """SELECT t.model, t.id, w.cost, sum(t.tf * w.w) AS s FROM svm_test_tf t
+            JOIN svm_weights w ON w.model = t.model AND w.term = t.term GROUP BY 1, 2, 3""",
+        "svm": """SELECT *, CASE WHEN margin > 0 THEN 1 ELSE 0 END AS pred FROM
+            (SELECT x.model, x.id, x.label, x.language, o.cost, o.b + coalesce(s.s, 0) AS margin FROM svm_test x
+             JOIN svm_offset o ON o.model = x.model
+             LEFT JOIN svm_sums s ON s.model = x.model AND s.id = x.id AND s.cost = o.cost)""",
+    }
+
+
 def f1(source: str, keys: list[str], name: str = "f1") -> dict[str, str]:
     """One CTE with macro-F1 and the number of rows per key combination of ``source``."""
     comma = "".join(f"{k}, " for k in keys)
@@ -189,19 +248,30 @@ SEARCH = {
     "searched": "SELECT alpha, avg(f1) AS score FROM by_language GROUP BY 1",
     "chosen": "SELECT alpha FROM searched WHERE score > 0 ORDER BY score DESC, alpha LIMIT 1",
 }
-KFOLD = {
+SVM_SEARCH = {
+    **SPLIT,
+    **linear_svm(one_model("train"), one_model("test"), [0.001, 0.1, 1.0, 5.0, 10.0]),
+    **f1("svm", ["cost", "language"], "by_language"),
+    "searched": "SELECT cost, avg(f1) AS score FROM by_language GROUP BY 1",
+    "chosen": "SELECT cost FROM searched WHERE score > 0 ORDER BY score DESC, cost LIMIT 1",
+}
+FOLD_ROWS = {
     **SPLIT,
     "train_rows": "SELECT * EXCLUDE (split) FROM split_rows WHERE split = 'train'",
     **folds("train_rows", "article_id", ["language"]),
     "models": "SELECT CAST(unnest(generate_series(0, 9)) AS INT) AS model",
-    **naive_bayes(
-        "SELECT m.model, article_id AS id, label, text FROM fold_rows r JOIN models m ON r.fold <> m.model",
-        "SELECT fold AS model, article_id AS id, label, language, text FROM fold_rows",
-        [0.1],
-    ),
-    **f1("nb", ["model", "language"], "by_language"),
-    "cells": """SELECT model, language, f1 FROM by_language
-        UNION ALL SELECT model, 'Average', avg(f1) FROM by_language GROUP BY model""",
+}
+FOLD_PARTS = (
+    "SELECT m.model, article_id AS id, label, text FROM fold_rows r JOIN models m ON r.fold <> m.model",
+    "SELECT fold AS model, article_id AS id, label, language, text FROM fold_rows",
+)
+CELLS = """SELECT model, language, f1 FROM by_language
+    UNION ALL SELECT model, 'Average', avg(f1) FROM by_language GROUP BY model"""
+KFOLD = {
+    **FOLD_ROWS, **naive_bayes(*FOLD_PARTS, [0.1]), **f1("nb", ["model", "language"], "by_language"), "cells": CELLS
+}
+SVM_KFOLD = {
+    **FOLD_ROWS, **linear_svm(*FOLD_PARTS, [0.1]), **f1("svm", ["model", "language"], "by_language"), "cells": CELLS
 }
 
 
@@ -668,6 +738,24 @@ ORACLE: dict[str, str] = {
         "labelled",
         **KFOLD,
     ),
+    "linear_svm": sql(
+        """SELECT id AS article_id, model, cost, CAST(label AS INT) AS label, language, round(margin, 3) AS margin,
+        CAST(pred AS INT) AS pred FROM svm""",
+        "labelled",
+        **SPLIT,
+        **linear_svm(one_model("train"), one_model("test"), [0.1]),
+    ),
+    "grid_search_svm": sql(
+        """SELECT s.cost, round(s.score, 6) AS score, CAST(CASE WHEN c.cost IS NULL THEN 0 ELSE 1 END AS INT) AS chosen
+        FROM searched s LEFT JOIN chosen c ON c.cost = s.cost""",
+        "labelled",
+        **SVM_SEARCH,
+    ),
+    "kfold_svm": sql(
+        "SELECT language, round(avg(f1), 6) AS f1_mean, round(stddev_samp(f1), 6) AS f1_std FROM cells GROUP BY 1",
+        "labelled",
+        **SVM_KFOLD,
+    ),
     "batch_score": sql(
         """SELECT article_id, CAST(CASE WHEN s1 > s0 THEN 1 ELSE 0 END AS INT) AS pred, round(s0, 3) AS score_0, round(s1, 3) AS score_1
         FROM (SELECT a.article_id, coalesce(s.s0, 0) AS s0, coalesce(s.s1, 0) AS s1 FROM articles a
@@ -763,3 +851,11 @@ ORACLE: dict[str, str] = {
 }
 ORACLE["language_distribution"] = ORACLE["sink_csv"]
 ORACLE["collect_fetch_parallel"] = ORACLE["collect_fetch"]
+ORACLE["model_roundtrip"] = ORACLE["naive_bayes"]
+ORACLE["svm_roundtrip"] = sql(
+    """SELECT id AS article_id, CAST(label AS INT) AS label, language, round(margin, 3) AS margin, CAST(pred AS INT) AS pred
+    FROM svm""",
+    "labelled",
+    **SPLIT,
+    **linear_svm(one_model("train"), one_model("test"), [0.1]),
+)

@@ -8,8 +8,9 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from corpuslab.operators import naive_bayes, score, svm
+from corpuslab.operators import models, naive_bayes, score, svm
 from corpuslab.plans import experiments
+from corpuslab.staging import work_path
 
 WORDS = ["aa", "bb", "cc", "dd", "ee", "ff", "gg"]
 
@@ -105,51 +106,128 @@ def test_main_experiment_reports_languages_and_average(frame):
     assert best.count() == 1
 
 
-def objective(x, y, w, b, penalty):
-    margin = np.maximum(0.0, 1.0 - (2 * y - 1) * (x @ w + b))
-    return margin.mean() + penalty / 2 * (w @ w)
-
-
-def test_linear_svm_reaches_the_optimum(frame):
-    """The fit is compared with a long subgradient descent on the same objective."""
-    rows = documents(80)
-    x = np.array([[len(re.findall(rf"\b{w}\b", t)) for w in [*WORDS, "zz"]] for _, t, _, _ in rows], float)
-    keep = [i for i in range(80) if x[i].sum() > 0]
-    x, y = x[keep], np.array([rows[i][2] for i in keep])
-    df = frame([rows[i] for i in keep], SCHEMA)
-    cost, n = 0.1, len(keep)
-    penalty = 1.0 / (cost * n)
-    w, b, best = np.zeros(8), 0.0, math.inf
-    for step in range(1, 20_001):
-        active = ((2 * y - 1) * (x @ w + b) < 1) * (2 * y - 1)
-        rate = 1.0 / (penalty * (step + 50))
-        w = w - rate * (penalty * w - (active[:, None] * x).mean(axis=0))
-        b = b + 0.1 * rate * active.mean()
-        best = min(best, objective(x, y, w, b, penalty))
-    tokens = svm.with_terms(df, "t")
-    features = svm.fit_features(tokens)
-    vectors = features.transform(tokens).select(F.col("label").cast("double"), "features")
-    model = svm.fit_linear_svm(vectors.coalesce(1), n, cost)
-    index = [features.vocabulary.index(v) for v in [*WORDS, "zz"]]
-    weights = model.coefficients.toArray()[index]
-    assert objective(x, y, weights, model.intercept, penalty) <= best * 1.01
+def svm_documents(n):
+    """Documents with words in common and a label that some words suggest."""
+    rows = []
+    for i in range(n):
+        words = ["the", "of"] * (1 + i % 3) + [f"w{(i * k) % 23}" for k in range(1, 6)]
+        rows.append((i, " ".join(words + (["bad"] if i % 7 < 3 else ["fine"] * (i % 2))), int(i % 7 < 3 or i % 11 == 0), "en" if i % 2 else "fr"))
+    return rows
+
+
+def primal(rows, weights, cost):
+    total = sum(w * w for w in weights.values()) / 2
+    for _, text, label, _ in rows:
+        margin = weights.get("", 0.0) + sum(weights.get(w, 0.0) for w in re.findall(r"\w\w+", text))
+        total += cost * max(0.0, 1 - (1 if label else -1) * margin)
+    return total
+
+
+def best_primal(rows, cost, steps=60_000):
+    """A long averaged subgradient descent on the same objective."""
+    words = sorted({w for _, t, _, _ in rows for w in re.findall(r"\w\w+", t)})
+    x = np.array([[1.0, *[len(re.findall(rf"\b{w}\b", t)) for w in words]] for _, t, _, _ in rows])
+    y = np.array([1.0 if r[2] else -1.0 for r in rows])
+    value = lambda w: w @ w / 2 + cost * np.maximum(0, 1 - y * (x @ w)).sum()
+    w, best = np.zeros(x.shape[1]), math.inf
+    for step in range(1, steps + 1):
+        w = w - (w - cost * ((y * (x @ w) < 1) * y) @ x) / (step + 100)
+        if step % 10 == 0:
+            best = min(best, value(w))
+    return best
+
+
+@pytest.mark.parametrize("block_rows", [1000, 20])
+def test_linear_svm_reaches_the_optimum(frame, block_rows):
+    """One block and several blocks: the proven gap, and a long descent on the same objective."""
+    rows = svm_documents(90)
+    df = frame(rows, SCHEMA)
+    every = naive_bayes.Model("all", F.lit(True), F.lit(False))
+    costs = [0.01, 0.3]
+    fitted = svm.LinearSvm(svm.vectors_of(df, [every], "id", "t", "label"), 1, costs, block_rows=block_rows)
+    assert max(fitted.gaps) <= svm.TOLERANCE
+    assert fitted.blocks == (1 if block_rows == 1000 else 5)
+    table = {r["term"]: r["w"] for r in fitted.weights.collect()}
+    for m, cost in enumerate(costs):
+        found = primal(rows, {t: w[m] for t, w in table.items()}, cost)
+        assert found <= best_primal(rows, cost) * (1 + svm.TOLERANCE) + 1e-9
+
+
+def test_linear_svm_warns_when_it_stops_early(frame):
+    every = naive_bayes.Model("all", F.lit(True), F.lit(False))
+    vectors = svm.vectors_of(frame(svm_documents(60), SCHEMA), [every], "id", "t", "label")
+    with pytest.warns(UserWarning, match="gap"):
+        fitted = svm.LinearSvm(vectors, 1, [1.0], block_rows=10, max_rounds=1)
+    assert fitted.gaps[0] > svm.TOLERANCE
 
 
 def test_linear_svm_predicts_separable_labels(frame):
     rows = [(i, "good news" if i % 2 else "bad lies", i % 2, "en") for i in range(40)]
-    df = frame(rows, SCHEMA)
-    found = svm.train_and_predict(df.filter("id < 30"), df.filter("id >= 30"), "id", "t", "label", "language", [0.1, 1.0], iterations=8)
-    assert found.count() == 20 and found.filter("pred != label").count() == 0
+    df = frame(rows + [(40, None, 1, "en"), (41, "", 0, "en"), (42, "good news", None, "en")], SCHEMA)
     split = df.withColumn("split", F.when(F.col("id") < 30, "train").otherwise("test"))
-    scores = svm.grid_search(split, "id", "t", "label", "language", costs=[0.1, 1.0], iterations=8)
+    model = naive_bayes.Model("split", F.col("split") == "train", F.col("split") == "test")
+    found = svm.train_and_predict(split, [model], "id", "t", "label", "language", [0.1, 1.0])
+    assert found.count() == 24 and found.filter("pred != label AND id < 40").count() == 0
+    known = split.filter("id < 40")
+    scores = svm.grid_search(known, "id", "t", "label", "language", costs=[0.1, 1.0])
     assert rows_of(scores) == [(0.1, 1, 1.0), (1.0, 2, 1.0)]
 
 
-def test_large_vocabulary_is_hashed_not_cut(frame):
-    tokens = svm.with_terms(frame([(1, "aa bb cc", 0, "en")], SCHEMA), "t")
-    assert hasattr(svm.fit_features(tokens, max_features=3), "vocabulary")
-    hashed = svm.fit_features(tokens, max_features=2)
-    assert hashed.transform(tokens).first()["features"].toArray().sum() == 3
+def test_svm_folds_equal_single_fits(frame):
+    """All folds in one fit give what every fold gives alone; a fold without training rows is class 0."""
+    df = frame(svm_documents(60), SCHEMA).withColumn("fold", (F.col("id") % 3).cast("int"))
+    models_ = [*naive_bayes.fold_models(3), naive_bayes.Model("none", F.lit(False), F.col("id") == 5)]
+    together = svm.train_and_predict(df, models_, "id", "t", "label", "language", [0.1])
+    found = {(r["model"], r["id"]): (r["margin"], r["pred"]) for r in together.collect()}
+    assert found.pop(("none", 5)) == (0.0, 0)
+    for model in models_[:3]:
+        alone = svm.train_and_predict(df, [model], "id", "t", "label", "language", [0.1])
+        for r in alone.collect():
+            assert found[r["model"], r["id"]] == (pytest.approx(r["margin"], abs=1e-9), r["pred"])
+
+
+def test_products_of_documents():
+    draw = np.random.default_rng(4)
+    dense = draw.integers(0, 4, (40, 60)) * (draw.random((40, 60)) < draw.random(60) ** 4)
+    documents, terms = np.nonzero(dense)
+    assert (svm.products(documents, terms, dense[documents, terms], 40) == dense @ dense.T).all()
+
+
+def test_stored_models_are_applied_elsewhere(spark, frame):
+    """Both kinds, read back, score other articles; odd texts; versions and kinds are checked."""
+    rows = svm_documents(60)
+    df = frame(rows, SCHEMA)
+    other = frame([(100, "the bad bad w3"), (101, "fine of"), (102, None), (103, ""), (104, "unheard")], "id long, t string")
+    for fitted in (models.fit_naive_bayes(df, "t", "label", 0.5), models.fit_linear_svm(df, "id", "t", "label", 0.1)):
+        path = work_path(spark, "test-model")
+        models.save_model(fitted, path)
+        models.save_model(fitted, path)
+        loaded = models.load_model(spark, path)
+        assert (loaded.kind, loaded.classes, loaded.parameter) == (fitted.kind, (0, 1), fitted.parameter)
+        found = {r["id"]: (r["pred"], r["scores"]) for r in models.apply_model(loaded, other, "id", "t").collect()}
+        assert found[100][0] == 1 and found[101][0] == 0 and len(found) == 5
+        assert found[102][1] == found[103][1] == found[104][1]
+        own = {r["id"]: r["pred"] for r in models.apply_model(loaded, df, "id", "t").collect()}
+        assert sum(own[r[0]] == r[2] for r in rows) >= 50
+        known = spark.read.schema(models.MODEL_METADATA).json(f"{path}/metadata")
+        newer = known.withColumn("version", F.lit(2)).collect()
+        spark.createDataFrame(newer, models.MODEL_METADATA).write.mode("overwrite").json(f"{path}/metadata")
+        with pytest.raises(ValueError, match="version"):
+            models.load_model(spark, path)
+    with pytest.raises(FileNotFoundError):
+        models.load_model(spark, work_path(spark, "no-model"))
+    with pytest.raises(ValueError, match="kind"):
+        models.TextModel("tree", (0, 1), 1.0, (), (), 0, df)
+
+
+def test_main_experiment_of_the_svm(frame):
+    df = frame(svm_documents(90), SCHEMA).withColumnRenamed("t", "text")
+    df = df.withColumn("split", F.when(F.col("id") % 10 == 7, "test").otherwise("train"))
+    table, best = experiments.main_experiment(df, "id", k=3, classifier="linear_svm", costs=[0.01, 0.1])
+    assert [r[0] for r in rows_of(table, "language")] == ["Average", "en", "fr"]
+    assert best.first()["cost"] in (0.01, 0.1)
+    with pytest.raises(ValueError):
+        experiments.main_experiment(df, "id", classifier="other")
 
 
 def test_batch_score_uses_the_given_scorer(frame):
