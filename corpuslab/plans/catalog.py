@@ -27,7 +27,7 @@ from corpuslab.operators import (
     topk,
 )
 from corpuslab.plans import experiments, views
-from corpuslab.sources import readers, writers
+from corpuslab.sources import readers, split_csv, writers
 from corpuslab.staging import stage, work_path
 from corpuslab.streaming.incremental import update_articles
 
@@ -75,6 +75,16 @@ def scan_csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("article_id", F.col("article_id").cast("long"))
 
 
+def scan_csv_split(spark: SparkSession, folder: str) -> DataFrame:
+    """The same articles from one large file, cut into records by the tasks of a text scan."""
+    names = ["article_id", "article_title", "article_text", "keywords", "published_date"]
+    path = work_path(spark, "articles-one-csv")
+    writers.write_csv(views.articles(spark, folder).select(*names).coalesce(1), path)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    rows = split_csv.read_csv_splits(spark, path, schema)
+    return rows.withColumn("article_id", F.col("article_id").cast("long"))
+
+
 def sink_csv(spark: SparkSession, folder: str) -> DataFrame:
     path = work_path(spark, "distribution-csv")
     writers.write_csv(language_distribution(spark, folder), path)
@@ -766,7 +776,7 @@ def cv_report(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in [
-        scan_csv_roundtrip, sink_csv, scan_jsonl_nested, scan_cache_permissive, sink_append,
+        scan_csv_roundtrip, scan_csv_split, sink_csv, scan_jsonl_nested, scan_cache_permissive, sink_append,
         collect_pending, collect_requests, collect_fetch, collect_fetch_parallel, archive_oldest, collect_resolve, collect_status_counts,
         collect_finalize, collect_incremental, fill_nulls, drop_nulls, combine_title_text,
         binarize_label, filter_isin, filter_min_words, map_codes, filter_class_quarter,

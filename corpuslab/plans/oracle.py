@@ -850,6 +850,7 @@ ORACLE: dict[str, str] = {
     ),
 }
 ORACLE["language_distribution"] = ORACLE["sink_csv"]
+ORACLE["scan_csv_split"] = ORACLE["scan_csv_roundtrip"]
 ORACLE["collect_fetch_parallel"] = ORACLE["collect_fetch"]
 ORACLE["model_roundtrip"] = ORACLE["naive_bayes"]
 ORACLE["svm_roundtrip"] = sql(
