@@ -8,8 +8,8 @@ from pyspark.sql import types as T
 
 from corpuslab.operators.collect import finalize
 from corpuslab.sources.readers import path_exists
-
-BATCH = "batch_id"
+from corpuslab.staging import stage
+from corpuslab.streaming.id_index import BATCH, IdIndex
 
 
 def update_articles(
@@ -24,20 +24,24 @@ def update_articles(
 ) -> DataFrame:
     """Read the cache files that are new since the last call and add ids not stored yet.
 
-    Repeats inside a batch are reduced to the first row before any id meets another partition, and
-    known ids are dropped by an anti join on the id column, so neither a hot id nor the number of
-    ids ends up in operator state. A batch owns one partition of the table and only looks at
-    earlier ones, so a repeated batch writes the same rows again.
+    Repeats inside a batch are reduced to the first row before any id meets another partition.
+    Known ids are found by the index beside the table, whose filters leave few buckets of ids to be
+    read, so neither a hot id nor the number of ids ends up in operator state. A batch owns one
+    partition of the table and of the index and only looks at earlier ones, so a repeated batch
+    writes the same rows again. A table without an index gets one from its ids.
     """
+    index = IdIndex(f"{articles_path.rstrip('/')}_index", row_id)
     stored_schema = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        fresh = finalize(batch, order, row_id)
-        if path_exists(batch.sparkSession, articles_path):
-            stored = batch.sparkSession.read.schema(stored_schema).parquet(articles_path)
-            earlier = stored.filter(F.col(BATCH) < batch_id).select(row_id)
-            fresh = fresh.join(earlier, row_id, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{articles_path}/{BATCH}={batch_id}")
+        session = batch.sparkSession
+        if path_exists(session, articles_path) and not path_exists(session, f"{index.path}/filters"):
+            stored = session.read.schema(stored_schema).parquet(articles_path)
+            index.add(stored.filter(F.col(BATCH) < batch_id).select(row_id), -1)
+        fresh = stage(finalize(batch, order, row_id), "fresh")
+        added = stage(index.drop_known(fresh, batch_id), "added")
+        added.write.mode("overwrite").parquet(f"{articles_path}/{BATCH}={batch_id}")
+        index.add(added.select(row_id), batch_id)
 
     reader = spark.readStream.schema(schema)
     if files_per_batch:
