@@ -15,6 +15,13 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return counts.orderBy(F.desc("n"), column)
 
 
+def quarter_value_counts(df: DataFrame, date: str, column: str) -> DataFrame:
+    """(quarter, value, n): rows per quarter and value, without nulls, most frequent first."""
+    rows = df.filter(F.col(date).isNotNull() & F.col(column).isNotNull())
+    counts = rows.groupBy(year_quarter(F.col(date)).alias("quarter"), column).agg(F.count("*").alias("n"))
+    return counts.orderBy("quarter", F.desc("n"), column)
+
+
 def distinct_counts(df: DataFrame, columns: list[str], count_null: bool = False) -> DataFrame:
     """(column, n): the exact number of different values per column, from one pass.
 

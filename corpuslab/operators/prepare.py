@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.fixed_values import MIN_ARTICLES, MIN_WORDS, SHARE_THRESHOLD
@@ -87,3 +87,24 @@ def keep_balanced_languages(
     selected = balanced_language_table(df, language, label, classes, threshold, min_articles)
     kept = df.join(stage(selected.select(language), "languages"), language, "left_semi")
     return kept.select(df.columns)
+
+
+def with_stable_ids(df: DataFrame, columns: list[str], name: str = "article_id") -> DataFrame:
+    """Add ids that follow from the content: a hash of the columns and the number of the occurrence.
+
+    Rows that agree in the columns are numbered from 1. How the rows are dealt over files and
+    partitions does not change the set of ids of a content. Occurrences are counted per partition
+    first, so that copies which are a large part of the table do not meet in one task.
+    """
+    cells = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    sizes = [F.length(c).cast("string") for c in cells]
+    content = F.md5(F.concat_ws("|", *sizes, *cells))
+    rows = stage(df.withColumns({"_content": content, "_part": F.spark_partition_id()}), "contents")
+    counts = rows.groupBy("_content", "_part").agg(F.count("*").alias("_n"))
+    # One row per partition for every content.
+    earlier = Window.partitionBy("_content").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_content", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_content", "_part").orderBy("_content")
+    numbered = rows.withColumn("_number", F.row_number().over(inside)).join(before, ["_content", "_part"])
+    number = (F.col("_number") + F.col("_before")).cast("string")
+    return numbered.select(F.concat("_content", F.lit("-"), number).alias(name), *df.columns)

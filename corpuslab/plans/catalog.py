@@ -310,9 +310,48 @@ def prepared_nested_news(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("article_id", "label", "language", "split")
 
 
+def prepared_flat_news(spark: SparkSession, folder: str) -> DataFrame:
+    """The flat collection with ids from its content, after the balance filter."""
+    news = views.labelled(spark, folder).select(
+        "article_text", F.col("label").alias("class"), "article_language"
+    )
+    named = stage(prepare.with_stable_ids(news, ["article_text", "class", "article_language"]), "flat")
+    rows = experiments.prepare_flat_news(named, "article_id", **BALANCE)
+    return rows.select("article_id", "label", "language", "split")
+
+
+def guard_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """(guard, outcome, rows): what the checks of inputs say, and the rows behind those that pass."""
+
+    def asked(guard: str, check: Callable[[], DataFrame]) -> DataFrame:
+        labels = [F.lit(guard).alias("guard")]
+        try:
+            rows = check()
+        except (FileNotFoundError, ValueError) as error:
+            outcome = "no path" if isinstance(error, FileNotFoundError) else "no column"
+            return spark.range(1).select(*labels, F.lit(outcome).alias("outcome"), F.lit(0).cast("long").alias("rows"))
+        return rows.agg(F.count("*").alias("rows")).select(*labels, F.lit("ok").alias("outcome"), "rows")
+
+    def table(name: str) -> DataFrame:
+        return spark.read.parquet(readers.require_path(spark, f"{folder}/{name}.parquet", "The test tables."))
+
+    return (
+        asked("documents", lambda: table("documents"))
+        .unionByName(asked("no documents", lambda: table("no_documents")))
+        .unionByName(asked("columns", lambda: readers.require_columns(table("labels"), "doc_id", "toxic")))
+        .unionByName(asked("no columns", lambda: readers.require_columns(table("labels"), "doc_id", "keywords")))
+    )
+
+
 # Descriptive reports
 
 
+def quarter_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of one class in every quarter."""
+    rows = views.articles(spark, folder).filter(F.col("class") == CLASSES[0])
+    return aggregate.quarter_value_counts(rows, "debunk_date", "article_language")
+
+
 def value_counts(spark: SparkSession, folder: str) -> DataFrame:
     return aggregate.value_counts(views.articles(spark, folder), "class")
 
@@ -780,7 +819,8 @@ QUERIES: dict[str, Query] = {
         collect_pending, collect_requests, collect_fetch, collect_fetch_parallel, archive_oldest, collect_resolve, collect_status_counts,
         collect_finalize, collect_incremental, fill_nulls, drop_nulls, combine_title_text,
         binarize_label, filter_isin, filter_min_words, map_codes, filter_class_quarter,
-        balanced_languages, prepared_articles, prepared_nested_news, value_counts, distinct_counts,
+        balanced_languages, prepared_articles, prepared_nested_news, prepared_flat_news, guard_outcomes,
+        quarter_languages, value_counts, distinct_counts,
         cases_per_group, mean_lengths, language_distribution, language_quartiles, support_share,
         dense_language_class, date_span, quarter_class_pivot, quarter_spine, quarter_keyword_pivot,
         publisher_class, publisher_share, top_keywords, top_publishers, topic_language_share,

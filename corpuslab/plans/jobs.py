@@ -8,15 +8,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslab.fixed_values import ALPHAS, COSTS, EVENTS, FOLDS, HOLDOUT_TOPICS, TOPICS
+from corpuslab.fixed_values import (
+    ALPHAS,
+    COSTS,
+    EVENTS,
+    FOLDS,
+    HOLDOUT_TOPICS,
+    REPORT_LANGUAGES,
+    TOPICS,
+)
 from corpuslab.functions.dates import parse_day_first
-from corpuslab.operators import aggregate, collect, topk
-from corpuslab.operators.evaluate import in_given_order
+from corpuslab.functions.text import capitalize
+from corpuslab.operators import aggregate, collect, evaluate, topk
+from corpuslab.operators.prepare import with_stable_ids
 from corpuslab.plans import experiments
-from corpuslab.schemas import ARTICLES, COLLECTED, EXPERIMENT
-from corpuslab.sources.readers import blank_missing_tokens, read_cache, read_csv, require_path
-from corpuslab.sources.writers import append_json_lines, write_best_parameters, write_csv
-from corpuslab.staging import stage
+from corpuslab.schemas import ARTICLES, COLLECTED, EXPERIMENT, FLAT_NEWS, NESTED_NEWS
+from corpuslab.sources.readers import (
+    blank_missing_tokens,
+    read_cache,
+    read_json_lines,
+    require_path,
+)
+from corpuslab.sources.split_csv import read_csv_splits
+from corpuslab.sources.writers import (
+    append_json_lines,
+    log_metrics,
+    write_best_parameters,
+    write_csv,
+)
+from corpuslab.staging import detached, owned_staging, owns_staging, stage
 
 CLASSES = ["disinformation", "support"]
 CLASSIFIERS = ("naive_bayes", "linear_svm")
@@ -36,6 +56,18 @@ def collect_articles(
     responses are staged, so a failure in a later step requests nothing again. Further columns of
     ``base`` are carried into the cache and the article table.
     """
+    with owned_staging(base.sparkSession):
+        return detached(_collect(base, snapshots, make_client, cache_path, output_path, partitions))
+
+
+def _collect(
+    base: DataFrame,
+    snapshots: DataFrame,
+    make_client: Callable[[], collect.Client],
+    cache_path: str,
+    output_path: str,
+    partitions: int | None = None,
+) -> DataFrame:
     spark = base.sparkSession
     schema = T.StructType([*base.schema.fields, *COLLECTED.fields])
     cached, _ = read_cache(spark, cache_path, schema)
@@ -63,24 +95,58 @@ def collect_articles(
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, hint: str) -> DataFrame:
     """A CSV table in which texts such as ``NA`` count as missing."""
-    return blank_missing_tokens(read_csv(spark, require_path(spark, path, hint), schema))
+    return blank_missing_tokens(read_csv_splits(spark, require_path(spark, path, hint), schema))
 
 
+@owns_staging
 def prepare_dataset(
     spark: SparkSession, articles_path: str, train_path: str, dev_path: str, **balance
 ) -> None:
     """Write the train and dev part of the article table as CSV."""
     # A CSV scan reads whole lines for every column; the split needs several narrow passes.
     articles = stage(_read(spark, articles_path, ARTICLES, "Collect the articles first."), "articles")
-    rows = experiments.prepare_articles(articles, **balance)
+    _write_parts(experiments.prepare_articles(articles, **balance), train_path, dev_path)
+
+
+def _write_parts(rows: DataFrame, train_path: str, dev_path: str) -> None:
+    """Both parts with the columns of an experiment; a collection may lack some, which are empty."""
+    columns = [F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in EXPERIMENT]
     for name, path in (("train", train_path), ("test", dev_path)):
-        write_csv(rows.filter(F.col("split") == name).select(*EXPERIMENT.fieldNames()), path)
+        write_csv(rows.filter(F.col("split") == name).select(*columns), path)
+
+
+@owns_staging
+def prepare_nested_dataset(
+    spark: SparkSession, news_path: str, train_path: str, dev_path: str, **balance
+) -> None:
+    """Train and dev part of the nested collection, from its JSON lines.
+
+    The collection has no ids: they follow from label, language and text, so the split is the same
+    however the file is read.
+    """
+    news = read_json_lines(spark, require_path(spark, news_path, "The nested collection."), NESTED_NEWS)
+    rows = news.withColumn("_text", F.col("ref_source.text"))
+    named = with_stable_ids(rows, ["label", "lang", "_text"]).drop("_text")
+    rows = experiments.prepare_nested_news(stage(named, "nested"), "article_id", **balance)
+    _write_parts(rows, train_path, dev_path)
+
+
+@owns_staging
+def prepare_flat_dataset(
+    spark: SparkSession, news_path: str, train_path: str, dev_path: str, **balance
+) -> None:
+    """Train and dev part of the flat collection, from its CSV; ids as for the nested one."""
+    news = _read(spark, news_path, FLAT_NEWS, "The flat collection.")
+    named = with_stable_ids(news, FLAT_NEWS.fieldNames())
+    rows = experiments.prepare_flat_news(stage(named, "flat"), "article_id", **balance)
+    _write_parts(rows, train_path, dev_path)
 
 
 def read_experiment(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, EXPERIMENT, "Prepare the dataset first.")
 
 
+@owns_staging
 def run_main_experiment(
     spark: SparkSession,
     train_path: str,
@@ -105,7 +171,7 @@ def run_main_experiment(
         rows, "article_id", alphas=alphas, k=k, classifier=classifier, costs=costs
     )
     if languages:
-        table = in_given_order(table, [*languages, "Average"], "language", "f1_mean").drop("position")
+        table = evaluate.in_given_order(table, [*languages, "Average"], "language", "f1_mean").drop("position")
     write_csv(table, result_path)
     write_best_parameters(best.drop("position", "score"), parameter_path)
 
@@ -119,6 +185,36 @@ def run_classifiers(
         run_main_experiment(spark, train_path, dev_path, *paths, classifier=name, **options)
 
 
+@owns_staging
+def run_cv_report(
+    spark: SparkSession,
+    train_path: str,
+    result_path: str,
+    parameter: float,
+    classifier: str = "naive_bayes",
+    languages: list[str] = REPORT_LANGUAGES,
+    k: int = FOLDS,
+    metrics_path: str | None = None,
+) -> None:
+    """The cross-validation report of one parameter: languages in order, then summary rows.
+
+    With ``metrics_path``, the parameter, the folds and the summary rows are added to the metrics
+    table as a run named after the classifier and the parameter.
+    """
+    rows = stage(read_experiment(spark, train_path), "train")
+    validate = experiments.cross_validate if classifier == "naive_bayes" else experiments.cross_validate_svm
+    found = stage(validate(rows, "article_id", "text", "label", "language", parameter, k), "predictions")
+    report = stage(evaluate.cv_report(found, languages), "cv-report")
+    write_csv(report.orderBy("position").drop("position"), result_path)
+    if metrics_path:
+        # The summary has six rows, which become columns beside the parameters of the run.
+        summary = report.filter(F.col("position") >= len(languages)).select("row", "f1_mean").collect()
+        cells = [F.lit(float(parameter)).alias("parameter"), F.lit(float(k)).alias("folds")]
+        cells += [F.lit(r["f1_mean"]).cast("double").alias(r["row"].replace(".", "")) for r in summary]
+        log_metrics(spark, metrics_path, f"{classifier}-{parameter}", spark.range(1).select(*cells))
+
+
+@owns_staging
 def run_cross_topics(
     spark: SparkSession,
     train_path: str,
@@ -130,6 +226,7 @@ def run_cross_topics(
     write_csv(experiments.cross_topics(rows, topics or HOLDOUT_TOPICS, "article_id"), result_path)
 
 
+@owns_staging
 def run_temporal_splits(
     spark: SparkSession,
     train_path: str,
@@ -140,6 +237,7 @@ def run_temporal_splits(
     write_csv(experiments.temporal_splits(rows, "article_id", events=events), result_path)
 
 
+@owns_staging
 def run_cross_datasets(spark: SparkSession, paths: dict[str, str], result_path: str) -> None:
     """``paths`` names the train file of every dataset; ids only need to be unique per dataset."""
     union = None
@@ -151,6 +249,7 @@ def run_cross_datasets(spark: SparkSession, paths: dict[str, str], result_path:
     write_csv(report, result_path)
 
 
+@owns_staging
 def analyse(spark: SparkSession, articles_path: str, result_path: str) -> list[str]:
     """Write every descriptive report as CSV below ``result_path``; returns their names."""
     raw = _read(spark, articles_path, ARTICLES, "Collect the articles first.")
@@ -181,6 +280,15 @@ def analyse(spark: SparkSession, articles_path: str, result_path: str) -> list[s
         "language_keywords": topk.top_language_keywords(negative, "keywords", language),
         "leading_keywords": topk.leading_keywords_by_language(rows, "keywords", language),
     }
+    for name in CLASSES:
+        own = rows.filter(F.col("class") == name)
+        reports[f"distinct_{name}"] = aggregate.distinct_counts(own, [publisher])
+    dated = negative.filter(F.col(date).isNotNull())
+    shown = topk.explode_keywords(dated, "keywords").select(capitalize(F.col("keyword")).alias("keyword"))
+    shown = stage(shown, "keywords")
+    reports["keywords"] = aggregate.value_counts(shown, "keyword")
+    reports["distinct_keywords"] = aggregate.distinct_counts(shown, ["keyword"])
+    reports["quarter_languages"] = aggregate.quarter_value_counts(negative, date, language)
     quarters = stage(aggregate.seen_quarters(rows, date), "quarters")
     for topic, words in TOPICS.items():
         shown = {word.capitalize(): name for word, name in words.items()}

@@ -507,6 +507,29 @@ ORACLE: dict[str, str] = {
         source="SELECT * FROM long WHERE language IN (SELECT language FROM kept)",
         **train_test("source", "article_id", ["label", "language"]),
     ),
+    "prepared_flat_news": sql(
+        "SELECT article_id, label, language, split FROM split_rows",
+        "labelled",
+        cells="""SELECT label, article_language AS language, [coalesce('=' || article_text, '-'),
+            coalesce('=' || CAST(label AS VARCHAR), '-'), coalesce('=' || article_language, '-')] AS c FROM labelled""",
+        contents="""SELECT label, language, md5(concat(array_to_string(list_transform(c, lambda x: CAST(length(x) AS VARCHAR)), '|'),
+            '|', array_to_string(c, '|'))) AS content FROM cells""",
+        named="""SELECT label, language, content || '-' || row_number() OVER (PARTITION BY content) AS article_id
+            FROM contents""",
+        kept="""SELECT language FROM named GROUP BY 1 HAVING CAST(sum(label) AS DOUBLE) / count(*) < 0.9
+            AND CAST(sum(label) AS DOUBLE) / count(*) > 1 - 0.9 AND count(*) > 40""",
+        source="SELECT * FROM named WHERE language IN (SELECT language FROM kept)",
+        **train_test("source", "article_id", ["label", "language"]),
+    ),
+    "guard_outcomes": """SELECT 'documents' AS guard, 'ok' AS outcome, count(*) AS rows FROM documents
+        UNION ALL SELECT 'no documents', 'no path', 0
+        UNION ALL SELECT 'columns', 'ok', count(*) FROM labels
+        UNION ALL SELECT 'no columns', 'no column', 0""",
+    "quarter_languages": sql(
+        f"""SELECT {quarter('debunk_date')} AS quarter, article_language, count(*) AS n FROM articles
+        WHERE class = 'disinformation' AND debunk_date IS NOT NULL AND article_language IS NOT NULL GROUP BY 1, 2""",
+        "articles",
+    ),
     "value_counts": sql("SELECT class, count(*) AS n FROM articles WHERE class IS NOT NULL GROUP BY 1", "articles"),
     "distinct_counts": sql(
         """SELECT 'debunk_id' AS "column", count(DISTINCT debunk_id) AS n, 'skipped' AS nulls FROM articles
