@@ -50,6 +50,16 @@ FAMILIES = {
     "cc-by-nd": 0.3, "cc-by-sa": 0.5, "cc-by": 0.9, "epl": 0.5, "gpl": 0.2, "isc": 1.0, "lgpl": 0.4,
     "mit": 1.0, "mpl": 0.5, "unlicense": 1.0, "zlib": 1.0,
 }
+# Further identifiers that have no version number.
+UNVERSIONED = {
+    "0bsd", "beerware", "curl", "fsfap", "gfdl", "hpnd", "icu", "ijg", "intel", "json", "libpng", "ncsa", "ntp",
+    "openssl", "postgresql", "qhull", "ruby", "sleepycat", "vim", "w3c", "wtfpl", "x11",
+}
+# Other identifiers: words with a version number, references of the user, and exceptions.
+IDENTIFIER = regex.compile(
+    r"[a-z][a-z0-9]*(?:-[a-z0-9]+)*-[0-9]+(?:\.[0-9]+)*(?:-[a-z0-9.]+)*\+?|licenseref-[a-z0-9.\-]+"
+    r"|[a-z0-9.\-]+-exception(?:-[0-9.]+)?"
+)
 TABLE = bytes(
     b if b in range(0x30, 0x3A) or b in range(0x61, 0x7B) or b >= 0x80
     else b + 32 if b in range(0x41, 0x5B) else 32
@@ -57,9 +67,16 @@ TABLE = bytes(
 )
 WORD = regex.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 SYMBOL = regex.compile(r"[ \t]*(?:([()])|([A-Za-z0-9][A-Za-z0-9.\-]*\+?))")
+AFTER_TAG = regex.compile(r"[\"']?[ \t]*[:=][ \t]*[\"']?")
 BINDS = {"or": 1, "and": 2, "with": 3}
 
 
+def is_identifier(name: str) -> bool:
+    """Whether a lower-case word can name a licence or an exception; prose cannot."""
+    plain = name.rstrip("+")
+    return plain in UNVERSIONED or family(name) in FAMILIES or IDENTIFIER.fullmatch(name) is not None
+
+
 class BadExpression(ValueError):
     pass
 
@@ -135,7 +152,8 @@ def evaluate(symbols: list[str]) -> tuple[set[str], float]:
 def symbols_at(text: str, at: int) -> list[str]:
     """Longest run of expression symbols from ``at`` that is well formed.
 
-    Stops at the end of the line or at the first thing that cannot go on the expression.
+    Stops at the end of the line or at the first thing that cannot go on the expression, such as a
+    word that names no licence.
     """
     found: list[str] = []
     best: list[str] = []
@@ -149,7 +167,7 @@ def symbols_at(text: str, at: int) -> list[str]:
             depth -= s == ")"
             operand_next = s != ")"
         else:
-            if not operand_next:
+            if not operand_next or s != "(" and not is_identifier(s.rstrip(".-")):
                 break
             depth += s == "("
             operand_next = s == "("
@@ -203,8 +221,9 @@ def scan_text(text: str | None) -> dict:
     if tags:
         ends = {i: m.end() for i, m in enumerate(WORD.finditer(text)) if i in tags}
         for at in ends.values():
-            after = regex.compile(r"[ \t]*[:=]?[ \t]*[\"']?").match(text, at).end()
-            symbols = symbols_at(text, after)
+            # A tag without a colon or an equals sign is prose.
+            after = AFTER_TAG.match(text, at)
+            symbols = symbols_at(text, after.end()) if after else []
             if symbols:
                 labels, freedom = evaluate(symbols)
                 found["expressions"].append(" ".join(symbols))

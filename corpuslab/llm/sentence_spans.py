@@ -2,8 +2,9 @@
 
 A text is cut into sentences at end marks and line ends. From every sentence a span runs over
 several sentences, until it is long enough to be no accident, and another runs back from it. The
-spans are hashed and grouped over the corpus; the document with the smallest doc_id owns a repeated span. Sentences under a span that
-another document owns, or that the same document had before, are removed.
+spans are hashed and grouped over the corpus; the row with the smallest doc_id, and of these the
+first, owns a repeated span. Sentences under a span that another row owns, or that the same row had
+before, are removed.
 """
 
 from __future__ import annotations
@@ -141,9 +142,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """One row per document: doc_id, n_sentences, n_removed, removed_words, removed, text.
 
     ``removed`` lists the removed places as start:end in code points of the whole text. A null text
-    counts as empty, which has no sentences. Rows with one doc_id count as one document: what
-    repeats only between them stays; a missing doc_id is larger than any other. Exact copies keep
-    what is too short for a span. An empty table gives no rows.
+    counts as empty, which has no sentences. Rows with one doc_id are told apart by their order in the
+    table; a missing doc_id is larger than any other. Exact copies keep what is too short for a
+    span. An empty table gives no rows; other columns are left out, whatever their names.
     """
     plain = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")
@@ -152,9 +153,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     zipped = F.inline(F.arrays_zip("h1", "h2", "first", "last", "again"))
     rows = signed.select("id", "row", zipped)
     # Only numbers, summed in the map tasks; a repeated span leaves one row.
-    owners = rows.groupBy("h1", "h2").agg(F.min("id").alias("owner"), F.count("*").alias("n"))
-    repeated = staged(owners.filter("n > 1").select("h1", "h2", "owner"), "repeated-spans")
-    gone = rows.join(repeated, ["h1", "h2"]).filter("id <> owner or again")
+    first = F.min(F.struct("id", "row"))
+    owners = rows.groupBy("h1", "h2").agg(first.alias("first_row"), F.count("*").alias("n"))
+    owners = owners.filter("n > 1").select("h1", "h2", F.col("first_row.row").alias("owner"))
+    gone = rows.select("row", "h1", "h2", "first", "last", "again").join(staged(owners, "repeated-spans"), ["h1", "h2"])
+    gone = gone.filter("row <> owner or again")
     # No more ranges than the document has sentences.
     ranges = gone.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("covered"))
     ranges = staged(ranges, "covered")

@@ -51,3 +51,14 @@ def test_the_end_of_a_passage_is_removed(spark):
         rows = {i: [sentence(f"a{i}x", 9), *passage, sentence(f"b{i}x", 9)] for i in range(3)}
         kept = check_runs(spark, rows)
         assert kept[0] == rows[0] and all(kept[i] == [rows[i][0], rows[i][-1]] for i in (1, 2))
+
+
+def test_rows_without_an_id_lose_what_another_row_has(spark):
+    """Rows without an id, and different texts of one id, are told apart by their order."""
+    passage = " ".join(f"Sentence number {i} of a passage that many rows hold in common." for i in range(6))
+    rows = [(i, f"Start {k} of a text. {passage}") for k, i in enumerate([None, None, 5, 5, None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    out = [(r["doc_id"], r["n_removed"], r["text"]) for r in sentence_spans.remove_repeats(docs).collect()]
+    kept = [o for o in out if o[1] == 0]
+    assert kept == [(5, 0, rows[2][1])]
+    assert sorted(o[2].strip() for o in out if o[1]) == [f"Start {k} of a text." for k in (0, 1, 3, 4)]

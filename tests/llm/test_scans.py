@@ -115,6 +115,30 @@ def test_quality_odd_rows(spark):
     assert host_rules.keep_good(empty_frame(spark)).columns == empty_frame(spark).columns
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "A license expression is a short text.",
+        "No license expression of any kind",
+        "SPDX-License-Identifier: see LICENSE file",
+        "SPDX-License-Identifier MIT",
+        "license expression: none",
+        "license-expression = (unclear",
+    ],
+)
+def test_prose_after_a_tag_is_no_licence(text):
+    found = licenses.scan_text(text)
+    assert found["labels"] == set() and found["expressions"] == [] and found["freedom"] is None
+
+
+def test_identifiers_after_a_tag():
+    labels = lambda text: licenses.scan_text(text)["labels"]
+    assert labels("SPDX-License-Identifier: MIT OR see the file") == {"mit"}
+    assert labels('"license-expression": "LicenseRef-Own-1 AND OFL-1.1"') == {"licenseref-own-1", "ofl-1.1"}
+    assert labels("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0") == {"gpl"}
+    assert labels("SPDX-License-Identifier: Zlib OR (PostgreSQL AND 0BSD)") == {"zlib", "postgresql", "0bsd"}
+
+
 def test_host_verdicts(spark):
     good = " ".join(f"word{i}" for i in range(60))
     soft = good + " # # # # # # # #"
