@@ -29,6 +29,11 @@ from corpuslab.llm.common import chunk_encoder, staged
 CAPACITY = 4096
 END_ID = 1
 ROUNDS = 16
+# The cover may be larger than the dual bound by this part; else there are more rounds, up to a limit.
+GAP = 0.01
+MOST_ROUNDS = 64
+# What is left after the rounds is covered in parts of a sequence this small.
+PARTS = 64
 PIECE_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -63,23 +68,48 @@ def column_with(length: int, last: np.ndarray) -> tuple[tuple[int, int], ...]:
     return tuple(sorted(taken.items(), reverse=True))
 
 
-def fractional_columns(
-    counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, rate: float = 0.2
-) -> dict[tuple[tuple[int, int], ...], float]:
-    """Column -> amount; the amounts cover every length."""
+def threshold_worths(counts: dict[int, int], capacity: int) -> tuple[dict[int, float], float]:
+    """Worths of lengths that no sequence can hold more than 1 of, and the bound they give.
+
+    For a threshold k up to half the capacity, lengths above capacity - k are worth 1, those below k
+    nothing, the others their part of a sequence; the k with the largest sum is taken.
+    """
+    lengths = np.array(sorted(counts))
+    number = np.array([counts[n] for n in lengths.tolist()], float)
+    best, chosen = -1.0, None
+    for k in {0, *lengths[lengths <= capacity // 2].tolist(), *(capacity - lengths[2 * lengths > capacity] + 1).tolist()}:
+        if 2 * k <= capacity + 1:
+            worths = np.where(lengths > capacity - k, 1.0, np.where(lengths < k, 0.0, lengths / capacity))
+            if worths @ number > best:
+                best, chosen = float(worths @ number), worths
+    return dict(zip(lengths.tolist(), chosen.tolist())), best
+
+
+def weighted_rounds(
+    counts: dict[int, int], worths: dict[int, float], capacity: int, rounds: int, rate: float
+) -> tuple[dict[tuple[tuple[int, int], ...], float], dict[int, float], float]:
+    """Column -> amount, the need left over, and the best dual bound of the pricings.
+
+    In every round, each length is brought to its part of the need by the column that is best for
+    it; the step of a column is as wide as its scarcest length allows.
+    """
     lengths = sorted(counts)
     need = {n: float(counts[n]) for n in lengths}
     covered = dict.fromkeys(lengths, 0.0)
     amounts: dict[tuple[tuple[int, int], ...], float] = {}
+    bound = 0.0
     for turn in range(1, rounds + 1):
         share = {n: covered[n] / need[n] for n in lengths}
         least = min(share.values())
         values = np.full(capacity + 1, -1.0)
         for n in lengths:
             if need[n] - covered[n] > 1e-9 * need[n]:
-                # Worth its part of a sequence, and less while it is covered more than others.
-                values[n] = n / capacity * math.exp(-rate * rounds * (share[n] - least))
-        _, last = price(values)
+                # Worth less while it is covered more than others.
+                values[n] = worths[n] * math.exp(-rate * rounds * (share[n] - least))
+        best, last = price(values)
+        if best[capacity] <= 0:
+            break
+        bound = max(bound, sum(need[n] * max(values[n], 0.0) for n in lengths) / best[capacity])
         for n in sorted(lengths, key=share.get):
             missing = need[n] * turn / rounds - covered[n]
             if missing <= 0:
@@ -92,25 +122,56 @@ def fractional_columns(
                 amounts[column] = amounts.get(column, 0.0) + amount
                 for m, k in column:
                     covered[m] += k * amount
-    for n in lengths:
-        missing = need[n] - covered[n]
-        if missing > 1e-9:
-            each = capacity // n
-            column = ((n, each),)
-            amounts[column] = amounts.get(column, 0.0) + missing / each
-    return amounts
+    return amounts, {n: need[n] - covered[n] for n in lengths if need[n] - covered[n] > 1e-9}, bound
+
+
+def fractional_columns(
+    counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, rate: float = 0.2
+) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
+    """(column -> amount, a lower bound of any cover); the amounts cover every length.
+
+    The need that the rounds leave over is covered by best fit in parts of a sequence. The rounds
+    are doubled until the cover is within ``GAP`` of the bound, up to ``MOST_ROUNDS``; of all covers,
+    and of best fit alone, the smallest is taken.
+    """
+
+    def add_best_fit(amounts: dict, left: dict[int, float]) -> dict:
+        for column, number in best_fit([], {n: math.ceil(k * PARTS) for n, k in left.items()}, capacity):
+            merged: Counter[int] = Counter()
+            for n, k in column:
+                merged[n] += k
+            key = tuple(sorted(merged.items(), reverse=True))
+            amounts[key] = amounts.get(key, 0.0) + number / PARTS
+        return amounts
+
+    size = lambda amounts: sum(amounts.values())
+    worths, bound = threshold_worths(counts, capacity)
+    worths = {n: max(w, 0.1 * n / capacity) for n, w in worths.items()}
+    alone = add_best_fit({}, counts)
+    found = None
+    while True:
+        amounts, left, priced = weighted_rounds(counts, worths, capacity, rounds, rate)
+        bound = max(bound, priced)
+        amounts = add_best_fit(amounts, left)
+        found = amounts if found is None or size(amounts) < size(found) else found
+        if size(found) <= bound * (1 + GAP) or rounds >= MOST_ROUNDS:
+            return min(found, alone, key=size), bound
+        rounds *= 2
 
 
 def round_columns(
-    amounts: dict[tuple[tuple[int, int], ...], float], counts: dict[int, int], capacity: int
+    amounts: dict[tuple[tuple[int, int], ...], float], counts: dict[int, int], capacity: int, most_free: int
 ) -> tuple[list[tuple[list[tuple[int, int]], int]], dict[int, int]]:
-    """Whole sequences (column, number) within the stock, fullest first, and the stock left."""
+    """Whole sequences (column, number) within the stock, fullest first, and the stock left.
+
+    Columns with more than ``most_free`` units left free are not used.
+    """
     left = dict(counts)
     made = []
     free = lambda column: capacity - sum(n * k for n, k in column)
     for column, amount in sorted(amounts.items(), key=lambda x: (free(x[0]), -x[1], x[0])):
         number = min([int(amount), *(left[n] // k for n, k in column)])
-        if number > 0 and free(column) <= capacity // 256:
+        if number > 0 and free(column) <= most_free:
             made.append((list(column), number))
             for n, k in column:
                 left[n] -= k * number
@@ -162,6 +223,17 @@ def best_fit(
     return [entry for room in sorted(groups) for entry in groups[room]]
 
 
+def sequences_of(
+    counts: dict[int, int], capacity: int, rounds: int
+) -> list[tuple[list[tuple[int, int]], int]]:
+    """(column, number) of whole sequences: the fewest of the cover, rounded with all its columns or
+    with the full ones and best fit for the rest, and of best fit alone."""
+    cover, _ = fractional_columns(counts, capacity, rounds)
+    starts = [round_columns(cover, counts, capacity, most_free) for most_free in (capacity // 256, capacity)]
+    plans = [best_fit(made, left, capacity) for made, left in [*starts, ([], dict(counts))]]
+    return min(plans, key=lambda plan: sum(number for _, number in plan))
+
+
 def packing_plan(
     counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS
 ) -> np.ndarray:
@@ -174,11 +246,10 @@ def packing_plan(
         raise ValueError("a piece is empty or longer than a sequence")
     if not counts:
         return np.zeros((0, 5), np.int64)
-    made, left = round_columns(fractional_columns(counts, capacity, rounds), counts, capacity)
     rank = dict.fromkeys(counts, 0)
     rows = []
     first = 0
-    for column, number in best_fit(made, left, capacity):
+    for column, number in sequences_of(counts, capacity, rounds):
         offset = 0
         for n, k in column:
             rows.append((n, rank[n], k, first, offset))

@@ -213,3 +213,39 @@ def test_pricing_is_optimal():
     assert abs(best[12] - every) < 1e-9
     column = packing.column_with(5, last)
     assert sum(n * k for n, k in column) <= 12 and dict(column)[5] >= 1
+
+
+def histograms():
+    """Lengths as documents have them, even ones, pieces of a third to three quarters, a few lengths."""
+    import numpy as np
+
+    draw = np.random.default_rng(1)
+    mixed = [draw.integers(2000, 2100, 10000), draw.integers(1000, 1100, 20000), draw.lognormal(4, 1, 50000)]
+    return {
+        "log-normal": draw.lognormal(5.5, 1.2, 100_000),
+        "even": draw.integers(1, 4097, 40_000),
+        "large": draw.integers(1300, 3000, 40_000),
+        "mixed": np.concatenate(mixed),
+        "few": draw.choice([1500, 1400, 1300, 700, 2500], 30_000),
+    }
+
+
+@pytest.mark.parametrize("name", ["log-normal", "even", "large", "mixed", "few"])
+def test_cover_is_near_its_bound_and_plan_near_the_cover(name):
+    """The program is solved: bound <= cover <= plan, and the plan is hardly larger."""
+    lengths = [min(max(int(n), 1), 4096) for n in histograms()[name]]
+    counts = dict(Counter(lengths))
+    cover, bound = packing.fractional_columns(counts)
+    covered = Counter()
+    for column, amount in cover.items():
+        assert sum(n * k for n, k in column) <= 4096 and amount > 0
+        for n, k in column:
+            covered[n] += k * amount
+    assert all(covered[n] >= counts[n] - 1e-6 for n in counts)
+    value = sum(cover.values())
+    plan = sum(number for _, number in packing.sequences_of(counts, 4096, packing.ROUNDS))
+    alone = sum(number for _, number in packing.best_fit([], dict(counts), 4096))
+    assert bound <= value + 1e-6 and value <= plan * 1.001 and plan <= alone
+    # Between five lengths, whole numbers of pieces keep the bound of the prices away.
+    assert value <= bound * (1.03 if name == "few" else 1.01)
+    assert plan <= value * 1.002 + 1
