@@ -23,7 +23,7 @@ HEADLINE = [
     "grid_search_nb", "kfold_nb", "cross_dataset_grid", "linear_svm", "batch_score",
     "experiment_report", "cv_report", "collect_resolve", "collect_finalize",
     "collect_incremental", "scan_csv_roundtrip", "cross_topic_report", "temporal_report",
-    "relative_drop",
+    "relative_drop", "grid_search_svm", "kfold_svm", "model_roundtrip", "svm_roundtrip", "scan_csv_split",
 ]
 
 

@@ -28,7 +28,7 @@ class IdIndex:
 
     path: str
     row_id: str
-    buckets: int = 256
+    buckets: int = 64
     bits: int = 1 << 20
 
     def _bucket(self):
@@ -49,11 +49,11 @@ class IdIndex:
         last = rows.agg(F.max(BATCH)).first()[0]
         return None if last is None else rows.filter(F.col(BATCH) == last).drop(BATCH)
 
-    def suspects(self, ids: DataFrame, batch_id: int) -> DataFrame:
-        """The ids, unique ones, that the filters cannot tell to be new."""
+    def suspects(self, ids: DataFrame, batch_id: int) -> DataFrame | None:
+        """The ids, unique ones, that the filters cannot tell to be new; None if all are."""
         filters = self._filters(ids.sparkSession, batch_id)
         if filters is None:
-            return ids.select(self.row_id).limit(0)
+            return None
         asked = self._positions(ids).join(filters, ["bucket", "word"], "left")
         missing = F.count_if(F.coalesce(F.col("bits"), F.lit(0)).bitwiseAND(F.col("bit")) == 0)
         return asked.groupBy(self.row_id).agg(missing.alias("_missing")).filter("_missing = 0").select(self.row_id)
@@ -71,7 +71,10 @@ class IdIndex:
 
     def drop_known(self, fresh: DataFrame, batch_id: int) -> DataFrame:
         """Rows of ``fresh``, one per id, whose id is in no earlier batch; staged input."""
-        suspects = stage(self.suspects(fresh, batch_id), "suspects")
+        suspects = self.suspects(fresh, batch_id)
+        if suspects is None:
+            return fresh
+        suspects = stage(suspects, "suspects")
         stored = self.stored(suspects, batch_id)
         if stored is None:
             return fresh

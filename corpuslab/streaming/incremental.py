@@ -21,6 +21,7 @@ def update_articles(
     order: list[Column],
     row_id: str = "article_id",
     files_per_batch: int | None = None,
+    buckets: int = 64,
 ) -> DataFrame:
     """Read the cache files that are new since the last call and add ids not stored yet.
 
@@ -28,9 +29,10 @@ def update_articles(
     Known ids are found by the index beside the table, whose filters leave few buckets of ids to be
     read, so neither a hot id nor the number of ids ends up in operator state. A batch owns one
     partition of the table and of the index and only looks at earlier ones, so a repeated batch
-    writes the same rows again. A table without an index gets one from its ids.
+    writes the same rows again. A table without an index gets one from its ids; ``buckets`` is its
+    number of id folders and has to stay the same.
     """
-    index = IdIndex(f"{articles_path.rstrip('/')}_index", row_id)
+    index = IdIndex(f"{articles_path.rstrip('/')}_index", row_id, buckets)
     stored_schema = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
 
     def add(batch: DataFrame, batch_id: int) -> None:
@@ -39,9 +41,9 @@ def update_articles(
             stored = session.read.schema(stored_schema).parquet(articles_path)
             index.add(stored.filter(F.col(BATCH) < batch_id).select(row_id), -1)
         fresh = stage(finalize(batch, order, row_id), "fresh")
-        added = stage(index.drop_known(fresh, batch_id), "added")
-        added.write.mode("overwrite").parquet(f"{articles_path}/{BATCH}={batch_id}")
-        index.add(added.select(row_id), batch_id)
+        own = f"{articles_path}/{BATCH}={batch_id}"
+        index.drop_known(fresh, batch_id).write.mode("overwrite").parquet(own)
+        index.add(session.read.schema(schema).parquet(own).select(row_id), batch_id)
 
     reader = spark.readStream.schema(schema)
     if files_per_batch:
