@@ -4,11 +4,13 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from corpuslab.operators import models, naive_bayes, score, svm
+from corpuslab.functions.text import term_counts
+from corpuslab.operators import bow, models, naive_bayes, score, svm
 from corpuslab.plans import experiments
 from corpuslab.staging import work_path
 
@@ -193,6 +195,44 @@ def test_products_of_documents():
     assert (svm.products(documents, terms, dense[documents, terms], 40) == dense @ dense.T).all()
 
 
+def test_a_block_has_one_product_for_all_models(monkeypatch):
+    """Costs and folds share the products of a block, and each is solved as it would be alone."""
+    draw = np.random.default_rng(5)
+    dense = np.c_[np.ones(30, int), draw.integers(0, 3, (30, 12))]
+    label, costs = draw.integers(0, 2, 30), [0.05, 0.3, 0.3]
+    used = np.stack([np.ones(30, bool), np.ones(30, bool), np.arange(30) % 3 > 0], axis=1)
+    block = pa.table({
+        "block": pa.array([0] * 30, pa.int32()), "id": list(range(30)), "label": pa.array(label, pa.int32()),
+        "trains": used.tolist(), "places": [np.flatnonzero(r).tolist() for r in dense], "counts": [r[r > 0].tolist() for r in dense],
+        "duals": [[0.0] * 3] * 30,
+    })
+    calls = []
+    monkeypatch.setattr(svm, "products", lambda *a, made=svm.products: calls.append(1) or made(*a))
+    found = svm._round_of(costs, [0, 1, 2], 1.0, [0.001] * 3, True)(block, pa.table({})).to_pylist()
+    assert len(calls) == 1
+    duals = np.array([r["duals"] for r in found if r["id"] is not None])
+    y = np.where(label == 1, 1.0, -1.0)
+    for m, cost in enumerate(costs):
+        u = used[:, m]
+        zeros = np.zeros(u.sum())
+        alone = svm.ascend((dense @ dense.T).astype(float)[np.ix_(u, u)], y[u], zeros, zeros, cost, 1.0, 0.001)
+        assert (duals[u, m] == alone).all() and (duals[~u, m] == 0).all()
+    steps = np.zeros((13, 3))
+    for r in found:
+        if r["place"] is not None:
+            steps[r["place"]] = r["step"]
+    assert steps == pytest.approx(dense.T @ (duals * y[:, None]))
+
+
+def test_term_counts_of_a_row(frame):
+    texts = ["b a b a b cc dd cc", "", None, "x y", "Éé éé ÉÉ Zz zz", "same same", "one"]
+    df = frame([(i, t.replace("b", "bb").replace("a", "aa") if t else t) for i, t in enumerate(texts)], "id long, t string")
+    entries = F.explode(term_counts(F.col("t"))).alias("e")
+    assert rows_of(df.select("id", entries).select("id", "e.*")) == rows_of(bow.bow_counts(df, "id", "t"))
+    found = df.select("id", term_counts(F.col("t")).alias("c")).orderBy("id").collect()
+    assert [r["c"] for r in found][1:4] == [[], None, []]
+
+
 def test_stored_models_are_applied_elsewhere(spark, frame):
     """Both kinds, read back, score other articles; odd texts; versions and kinds are checked."""
     rows = svm_documents(60)
