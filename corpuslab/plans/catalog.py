@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +49,8 @@ LANGUAGES = ["en", "fr", "de", "es"]
 DATASETS = ["set0", "set1", "set2"]
 # Bounds under which the synthetic languages are partly dropped.
 BALANCE = {"threshold": 0.9, "min_articles": 40}
+# Several splits of a text scan.
+CSV_FILE_BYTES = 512 * 2**20
 CUES = ["of the and", "the of the", "de la le", "the and of", "and the of the"]
 
 
@@ -76,10 +79,17 @@ def scan_csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scan_csv_split(spark: SparkSession, folder: str) -> DataFrame:
-    """The same articles from one large file, cut into records by the tasks of a text scan."""
+    """The same articles from one large file, cut into records by the tasks of a text scan.
+
+    The file is written by one task that holds no rows; above ``CSV_FILE_BYTES`` of texts there are
+    more such files, so that no task writes a growing part.
+    """
     names = ["article_id", "article_title", "article_text", "keywords", "published_date"]
     path = work_path(spark, "articles-one-csv")
-    writers.write_csv(views.articles(spark, folder).select(*names).coalesce(1), path)
+    texts = views.table(spark, folder, "documents").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(1, math.ceil(texts / CSV_FILE_BYTES))
+    # Not ``coalesce``: it would run the join and its sorts in the writing tasks too.
+    writers.write_csv(views.articles(spark, folder).select(*names).repartition(files, "article_id"), path)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     rows = split_csv.read_csv_splits(spark, path, schema)
     return rows.withColumn("article_id", F.col("article_id").cast("long"))

@@ -7,6 +7,7 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import types as T
 
+from corpuslab.plans import catalog
 from corpuslab.sources import readers, split_csv, writers
 
 def texts(*names):
@@ -96,3 +97,16 @@ def test_empty_files(spark, frame, tmp_path):
     path = str(tmp_path / "empty")
     writers.write_csv(frame([], SCHEMA).coalesce(1), path)
     assert split_csv.read_csv_splits(spark, path, SCHEMA).count() == 0
+
+
+@pytest.mark.parametrize("file_bytes, files", [(2**29, 1), (100_000, 2)])
+def test_the_large_file_is_not_joined_by_its_writing_task(spark, monkeypatch, file_bytes, files):
+    """The join of the articles stays with its own tasks, and a file has a bounded size."""
+    written = []
+    monkeypatch.setattr(catalog, "CSV_FILE_BYTES", file_bytes)
+    monkeypatch.setattr(writers, "write_csv", lambda df, path, made=writers.write_csv: written.append(df) or made(df, path))
+    found = catalog.scan_csv_split(spark, "/root/testdata/sf0.001")
+    plan = written[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("RepartitionByExpression")
+    assert written[0].rdd.getNumPartitions() >= files
+    assert rows_of(found) == rows_of(catalog.scan_csv_roundtrip(spark, "/root/testdata/sf0.001"))
