@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions.scores import predicted_class
-from corpuslab.functions.text import word_tokens
+from corpuslab.functions.text import term_counts, word_tokens
 from corpuslab.operators.joins import hot_key_lookup
 from corpuslab.staging import stage
 
@@ -68,8 +68,9 @@ def score_terms(
     Unknown words weigh nothing, and a text without known words scores 0 for every class. Rows with
     a frequent word meet a broadcast of bounded length, see ``weighted_lookup``.
     """
-    words = df.select(row_id, F.explode(word_tokens(F.col(text))).alias("term"))
-    counted = stage(words.groupBy(row_id, "term").agg(F.count("*").alias("tf")), "term-counts")
+    # Counted inside the row: no task holds the terms of many texts, and none are shuffled.
+    words = df.select(row_id, F.explode(term_counts(F.col(text))).alias("t"))
+    counted = stage(words.select(row_id, "t.term", "t.tf"), "term-counts")
     known = hot_key_lookup(counted, weights, "term")
     totals = known.groupBy(row_id).agg(
         *[F.sum(F.col("tf") * F.col(f"s{c}")).alias(f"s{c}") for c in classes]

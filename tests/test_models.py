@@ -306,3 +306,16 @@ def test_views_do_not_deal_texts_anew(spark):
     for view in (views.articles, views.labelled, views.debunk_texts, views.crawl_base):
         frame = view(spark, "/root/testdata/sf0.001")
         assert "RoundRobin" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_score_terms_counts_inside_the_row(spark, frame, monkeypatch):
+    """The words of a text are counted without an aggregate over (id, term)."""
+    staged = []
+    monkeypatch.setattr(score, "stage", lambda df, name, made=score.stage: staged.append(df) or made(df, name))
+    df = frame([(1, "aa bb aa"), (2, None), (3, "zz"), (4, "bb AA")], "id long, t string")
+    weights = frame([("aa", 1.0, 0.5), ("bb", 0.0, 2.0)], "term string, s0 double, s1 double")
+    found = score.score_terms(df, weights, "id", "t")
+    assert [(r["id"], r["scores"]) for r in found.orderBy("id").collect()] == [
+        (1, [2.0, 3.0]), (2, [0.0, 0.0]), (3, [0.0, 0.0]), (4, [1.0, 2.5])
+    ]
+    assert "Aggregate" not in staged[0]._jdf.queryExecution().optimizedPlan().toString()
