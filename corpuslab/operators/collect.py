@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,9 @@ from corpuslab.schemas import RESPONSE_BODY
 from corpuslab.staging import stage
 
 OK = 200
+# Rows of about so many bytes are handed to a client at once, so that a worker holds the requests
+# and responses of few rows, however large a batch of Spark is.
+CLIENT_BYTES = 4 * 2**20
 
 # Takes a batch of rows and returns one (status, body) pair per row. A failed request is
 # (None, None).
@@ -65,15 +69,19 @@ def fetch(
         ]
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = make_client()
         for batch in batches:
-            answers = client(batch)
-            yield batch.assign(
-                status=pd.array([a[0] for a in answers], dtype="Int32"), body=[a[1] for a in answers]
-            )
-
-    return rows.mapInPandas(run, schema)
+            rows = max(1, batch.num_rows * CLIENT_BYTES // max(batch.nbytes, 1))
+            for low in range(0, batch.num_rows, rows):
+                part = batch.slice(low, rows)
+                answers = client(part.to_pandas())
+                status = pa.array(pd.array([a[0] for a in answers], dtype="Int32"))
+                body = pa.array([a[1] for a in answers], pa.string(), from_pandas=True)
+                yield pa.RecordBatch.from_arrays([*part.columns, status, body], names=names)
+
+    names = schema.names
+    return rows.mapInArrow(run, schema)
 
 
 def parse_responses(fetched: DataFrame, row_id: str, body: str = "body") -> DataFrame:

@@ -189,3 +189,16 @@ def test_shared_folder_comes_from_the_session(spark, tmp_path):
     assert folder == named if named else folder
     staged = staging.stage(spark.range(3), "numbers")
     assert staged.count() == 3 and staged.dtypes == [("id", "bigint")]
+
+
+def test_a_client_gets_few_bytes_at_a_time(frame):
+    """Batches of the client are bounded by bytes, not by rows; no row is lost."""
+
+    def make_client():
+        return lambda batch: [(int(batch["body_in"].str.len().sum()), None if i == 7 else str(i)) for i in batch["id"]]
+
+    df = frame([(i, "x" * 1_000_000) for i in range(20)] + [(20, None)], "id long, body_in string").coalesce(1)
+    found = sorted(collect.fetch(df, make_client).select("id", "status", "body").collect())
+    assert [r["id"] for r in found] == list(range(21))
+    assert [r["body"] for r in found] == [None if i == 7 else str(i) for i in range(21)]
+    assert max(r["status"] for r in found) <= 2 * collect.CLIENT_BYTES
