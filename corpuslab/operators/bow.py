@@ -13,6 +13,8 @@ from corpuslab.staging import stage
 
 PAD, UNKNOWN = 0, 1
 FIRST_TERM = 2
+# Numbers of terms are below 2 to the power of this, and places below 2 to that of the rest.
+TOKEN_BITS = 40
 
 
 def bow_counts(df: DataFrame, row_id: str, text: str) -> DataFrame:
@@ -55,16 +57,15 @@ def encode_fixed(
     words = documents.select(row_id, F.posexplode("terms").alias("pos", "term"))
     # Frequencies of the whole texts bound the number of rows per term.
     found = weighted_lookup(words, stage(vocabulary, "vocabulary"), "term", "n", how="left")
-    number = F.coalesce(F.col("token_id"), F.lit(UNKNOWN)).alias("token_id")
+    # A place and its token in one number, so that an entry of a list has 8 bytes in the shuffle.
+    number = F.coalesce(F.col("token_id"), F.lit(UNKNOWN)).cast("long")
+    token = F.shiftleft(F.col("pos").cast("long"), TOKEN_BITS).bitwiseOR(number).alias("token")
     # A text without words has one row that stands for no token.
-    empty = documents.filter(F.size("terms") == 0).select(
-        row_id, F.lit(None).cast("int").alias("pos"), F.lit(None).cast("long").alias("token_id")
-    )
-    rows = found.select(row_id, "pos", number).unionByName(empty)
-    token = F.when(F.col("pos").isNotNull(), F.struct("pos", "token_id"))
+    empty = documents.filter(F.size("terms") == 0).select(row_id, F.lit(None).cast("long").alias("token"))
+    rows = found.select(row_id, token).unionByName(empty)
     # At most ``length`` entries per text.
-    tokens = rows.groupBy(row_id).agg(F.array_sort(F.collect_list(token)).alias("t"))
-    ids = F.transform("t", lambda token: token["token_id"])
+    tokens = rows.groupBy(row_id).agg(F.array_sort(F.collect_list("token")).alias("t"))
+    ids = F.transform("t", lambda token: token.bitwiseAND(F.lit(2**TOKEN_BITS - 1)))
     missing = F.lit(length) - F.size("t")
     return tokens.select(
         row_id,

@@ -98,3 +98,16 @@ def test_topic_matches_keep_repeats(frame):
     topics = {"colour": ["red"], "size": ["small"], "both": ["red"]}
     found = rows_of(joins.topic_matches(df, "id", "k", topics))
     assert found == [(1, "red", "both"), (1, "red", "colour"), (1, "small", "size"), (1, "small", "size")]
+
+
+def test_encoding_shuffles_a_number_per_token(frame):
+    """The lists of a text are gathered from numbers that keep the order of places."""
+    df = frame([(1, " ".join(f"w{i % 37}" for i in range(600))), (2, ""), (3, "w0 unseen w1")], "id long, t string")
+    vocabulary = frame([(f"w{i}", 20, 2**33 + i) for i in range(37)], "term string, n long, token_id long")
+    encoded = bow.encode_fixed(df, "id", "t", vocabulary)
+    plan = encoded._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(token" in plan and "collect_list(if" not in plan and "collect_list(CASE" not in plan
+    found = {r["id"]: r["input_ids"] for r in encoded.collect()}
+    assert found[1] == [2**33 + i % 37 for i in range(512)]
+    assert found[2] == [bow.PAD] * 512
+    assert found[3][:4] == [2**33, bow.UNKNOWN, 2**33 + 1, bow.PAD]
