@@ -195,6 +195,32 @@ def test_products_of_documents():
     assert (svm.products(documents, terms, dense[documents, terms], 40) == dense @ dense.T).all()
 
 
+def test_descent_without_products_finds_the_optimum():
+    """Sparse sweeps come to the same dual objective as greedy ascent on the products, within their tolerance."""
+    draw = np.random.default_rng(6)
+    dense = np.c_[np.ones(80, int), draw.integers(0, 3, (80, 25)) * (draw.random((80, 25)) < 0.4)]
+    y, zeros = np.where(draw.random(80) < 0.3, 1.0, -1.0), np.zeros(80)
+    documents, terms = np.nonzero(dense)
+    gram = (dense @ dense.T).astype(float)
+    for cost in (0.01, 0.3):
+        values = []
+        for dual in (
+            svm.descend(documents, terms, dense[documents, terms], y, zeros, zeros, cost, 1.0, 0.001),
+            svm.ascend(gram, y, zeros, zeros, cost, 1.0, 0.001),
+        ):
+            assert dual.min() >= 0 and dual.max() <= cost
+            values.append(dual.sum() - (dual * y) @ gram @ (dual * y) / 2)
+        assert values[0] == pytest.approx(values[1], rel=0.002)
+
+
+def test_many_blocks_need_few_rounds(frame):
+    """A working set of several blocks: the rounds do not grow with the number of blocks."""
+    every = naive_bayes.Model("all", F.lit(True), F.lit(False))
+    vectors = svm.vectors_of(frame(svm_documents(240), SCHEMA), [every], "id", "t", "label")
+    fitted = svm.LinearSvm(vectors, 1, [0.05], block_rows=20, max_rounds=5)
+    assert fitted.blocks == 12 and max(fitted.gaps) <= svm.TOLERANCE
+
+
 def test_a_block_has_one_product_for_all_models(monkeypatch):
     """Costs and folds share the products of a block, and each is solved as it would be alone."""
     draw = np.random.default_rng(5)
