@@ -5,6 +5,7 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 
 from corpuslab.fixed_values import CUE_NGRAMS
+from corpuslab.functions.text import OUTER_HYPHENS
 from corpuslab.operators import bow, joins, ngrams
 
 TEXTS = [
@@ -111,3 +112,12 @@ def test_encoding_shuffles_a_number_per_token(frame):
     assert found[1] == [2**33 + i % 37 for i in range(512)]
     assert found[2] == [bow.PAD] * 512
     assert found[3][:4] == [2**33, bow.UNKNOWN, 2**33 + 1, bow.PAD]
+
+
+def test_outer_hyphens_are_tried_at_hyphens_only(frame):
+    """The same words as by the pattern without its look at the next character."""
+    texts = ["-a b- --c-- d-e f--g - -- --- h-\u00a0-i", "", "-", "a\x1c-b-\x1dc", "\u2003-x-\u2003y--\tz-", "no hyphen"]
+    plain = r"(?U)(?<![^\s\x1c-\x1f])-+|-+(?![^\s\x1c-\x1f])"
+    df = frame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+    found = df.select(F.regexp_replace("t", OUTER_HYPHENS, "").alias("a"), F.regexp_replace("t", plain, "").alias("b"))
+    assert OUTER_HYPHENS.startswith("(?U)(?=-)") and all(r["a"] == r["b"] for r in found.collect())
