@@ -221,6 +221,36 @@ def test_many_blocks_need_few_rounds(frame):
     assert fitted.blocks == 12 and max(fitted.gaps) <= svm.TOLERANCE
 
 
+def test_scaled_weights_prove_what_is_solved_at_a_high_cost():
+    """Losses of documents just inside their margin hide a dual solution that is good; a factor of the weights shows it."""
+    draw = np.random.default_rng(9)
+    dense = np.c_[np.ones(200, int), draw.integers(0, 3, (200, 400)) * (draw.random((200, 400)) < 0.1)]
+    y, zeros, cost = np.where(dense[:, 1:20].sum(axis=1) > 2, 1.0, -1.0), np.zeros(200), 10.0
+    documents, places = np.nonzero(dense)
+    dual = svm.descend(documents, places, dense[documents, places], y, zeros, zeros, cost, 1.0, 0.01)
+    w = dense.T @ (dual * y)
+    value = lambda w: w @ w / 2 + cost * np.maximum(0, 1 - y * (dense @ w)).sum()
+    least, scale = svm._primal(w @ w, svm._hinges(y * (dense @ w), svm.SCALES), cost, svm.SCALES)
+    assert least == pytest.approx(value(scale * w)) and least < value(w)
+    assert 0 <= least - (dual.sum() - w @ w / 2) <= 0.011 * least
+
+
+def test_words_of_a_part_are_counted_and_numbered():
+    part = pa.table({
+        "part": pa.array([3, 3, 3], pa.int32()), "id": [7, 5, 6], "label": pa.array([1, 0, 1], pa.int32()), "trains": [[True]] * 3,
+        "scored": [False] * 3, "words": [" bb aa bb", "", " aa"],
+    })
+    rows = svm._counted(part).to_pylist()
+    words = [r for r in rows if r["place"] is not None]
+    assert sorted(r["term"] for r in words) == ["", "aa", "bb"] and {r["part"] for r in words} == {3}
+    number = {"": 40, "aa": 1 << 40, "bb": 2}
+    numbers = pa.table({"place": [r["place"] for r in words], "number": pa.array([number[r["term"]] for r in words], pa.int64())})
+    documents = svm._counted(part).filter(pa.array([r["place"] is None for r in rows])).drop_columns(["term", "place"])
+    found = svm._numbered(documents, numbers).to_pylist()
+    entries = {r["id"]: (np.frombuffer(r["numbers"], np.int64).tolist(), np.frombuffer(r["counts"], np.int32).tolist(), r["entries"]) for r in found}
+    assert entries == {7: ([2, 40, 1 << 40], [2, 1, 1], 3), 5: ([40], [1], 1), 6: ([40, 1 << 40], [1, 1], 2)}
+
+
 def test_a_block_has_one_product_for_all_models(monkeypatch):
     """Costs and folds share the products of a block, and each is solved as it would be alone."""
     draw = np.random.default_rng(5)
