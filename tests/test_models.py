@@ -251,6 +251,22 @@ def test_words_of_a_part_are_counted_and_numbered():
     assert entries == {7: ([2, 40, 1 << 40], [2, 1, 1], 3), 5: ([40], [1], 1), 6: ([40, 1 << 40], [1, 1], 2)}
 
 
+def test_a_working_set_is_bounded_in_entries(frame, monkeypatch):
+    """A set holds no more words of documents than asked for, whatever the number of documents and models."""
+    chosen = []
+    monkeypatch.setattr(svm, "WORKING_ENTRIES", 100)
+    monkeypatch.setattr(svm, "stage", lambda df, name, made=svm.stage: chosen.append((name, made(df, name))) or chosen[-1][1])
+    rows = svm_documents(60)
+    every = naive_bayes.Model("all", F.lit(True), F.lit(False))
+    vectors = svm.vectors_of(frame(rows, SCHEMA), [every], "id", "t", "label")
+    with pytest.warns(UserWarning, match="gap"):
+        svm.LinearSvm(vectors, 1, [0.05, 1.0], block_rows=30, max_rounds=1)
+    words = {r[0]: 1 + len(set(r[1].split())) for r in rows}
+    sets = [rows_of(df, "model", "id") for name, df in chosen if name == "svm-chosen"]
+    assert sets and all({m for m, _ in s} == {0, 1} for s in sets)
+    assert all(50 < sum(words[i] for k, i in s if k == m) <= 100 for s in sets for m in (0, 1))
+
+
 def test_a_block_has_one_product_for_all_models(monkeypatch):
     """Costs and folds share the products of a block, and each is solved as it would be alone."""
     draw = np.random.default_rng(5)
